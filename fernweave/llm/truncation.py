@@ -174,3 +174,12 @@ def cut_texts(rows: DataFrame, id_col: str, text: str, source: str | None = None
         goes_on.alias("goes_on"),
         at_limit.alias("at_limit"),
     )
+
+
+def cut_by_source(rows: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
+    """(`source`, `texts`, `cut`, `cut_at_limit`): what each source holds and how much of it was cut."""
+    found = cut_texts(rows, id_col, text, source)
+    cut = found.where("cut").groupBy("source").agg(F.count(F.lit(1)).alias("cut"), F.count_if("at_limit").alias("cut_at_limit"))
+    texts = rows.where(F.col(text).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("texts"))
+    both = texts.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+    return both.select("source", "texts", F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("cut_at_limit", F.lit(0)).alias("cut_at_limit"))
