@@ -3,10 +3,10 @@
 An address is folded (case, accents, widths, separators), freed of unit and country
 notes and expanded into its plausible readings: house number, street name and kind of
 street, and every wording that may be the town. Hashes of component combinations
-(number, street with at most one letter left out, and town or postal code) are
-exploded and joined; pairs with a shared hash are kept unless house number, kind of
-street, town or postal code conflict, or the street names differ in more than one typing
-error.
+(number, street, and town or postal code) are exploded and joined; pairs with a shared
+hash are kept unless kind of street, town or postal code conflict. The house number is
+part of every hash. A street name may be meant for each more frequent name of the data
+that is one typing error away, so a misspelt address also has the hashes of those names.
 
 Rows that say the same are first brought together to forms, and only forms are joined, so
 a mall with a third of all listings is one form until its pairs are written out. Null,
@@ -21,7 +21,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,28 +184,20 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(form, hash) for every combination of components of each form."""
-    digest = xxhash.xxh3_64_intdigest
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        forms, number, street, towns, code = (batch.column(i).to_pylist() for i in range(5))
-        out_f, out_h = [], []
-        for f, n, s, ts, c in zip(forms, number, street, towns, code):
-            spellings = {s} | {s[:i] + s[i + 1 :] for i in range(len(s))} if len(s) >= 5 else {s}
-            places = [f"t{t}" for t in ts] + ([f"p{c}"] if c else [])
-            for place in places:
-                for v in spellings:
-                    out_f.append(f)
-                    out_h.append(digest(f"{n}|{v}|{place}") - (1 << 63))
-        yield pa.RecordBatch.from_arrays([pa.array(out_f, pa.int64()), pa.array(out_h, pa.int64())], ["form", "hash"])
+        mask = [near_names(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield batch.filter(pa.array(mask, pa.bool_()))
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        mask = [near_names(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        kept = table.filter(pa.array(mask, pa.bool_())).select(["form_a", "form_b"]).combine_chunks().to_batches()
-        yield from kept
+def street_spellings(streets: DataFrame) -> DataFrame:
+    """(`street`, `meant`): names one typing error apart, from the rarer to the more frequent one."""
+    counted = streets.groupBy("street").agg(F.count(F.lit(1)).alias("n"))
+    cut = F.expr("transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1)))")
+    spelled = counted.where(F.length("street") >= 5).withColumn("v", F.explode(F.array_distinct(F.concat(F.array("street"), cut))))
+    right = spelled.select("v", F.col("street").alias("meant"), F.col("n").alias("m"))
+    pairs = spelled.join(right, "v").where("n < m or (n = m and street > meant)").select("street", "meant").distinct()
+    return pairs.mapInArrow(_close, "street string, meant string")
 
 
 def address_forms(rows: DataFrame, id_col: str, address: Column, city: Column, code: Column) -> DataFrame:
@@ -220,23 +211,22 @@ def same_address(rows: DataFrame, id_col: str, address: Column, city: Column, co
     """(`id_a`, `id_b`): all pairs of rows, smaller id first, that denote the same postal address."""
     read = cut_lineage(address_forms(rows, id_col, address, city, code))
     parts = ["number", "street", "kind", "towns", "town_known", "code"]
-    forms = read.groupBy("form").agg(*[F.first(c).alias(c) for c in parts])
-    hashed = forms.select("form", "number", "street", "towns", "code").mapInArrow(_hashes, "form long, hash long").distinct()
-    shared = hashed.groupBy("hash").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi").select("hash")
-    hashed = hashed.join(shared, "hash", "left_semi")
-    met = hashed.withColumnRenamed("form", "form_a").join(hashed.withColumnRenamed("form", "form_b"), "hash").where("form_a < form_b")
-    met = met.select("form_a", "form_b").distinct()
-    left = forms.select(F.col("form").alias("form_a"), *[F.col(c).alias(f"{c}_a") for c in parts])
-    right = forms.select(F.col("form").alias("form_b"), *[F.col(c).alias(f"{c}_b") for c in parts])
+    forms = read.select("form", *parts).distinct()
+    meant = street_spellings(read.select("street"))
+    own = forms.withColumn("name", F.col("street"))
+    other = forms.join(meant, "street").withColumn("name", F.col("meant")).select(*own.columns)
+    code_place = F.when(F.col("code") != "", F.array(F.concat(F.lit("p"), "code"))).otherwise(F.array().cast("array<string>"))
+    places = F.concat(F.transform("towns", lambda t: F.concat(F.lit("t"), t)), code_place)
+    hashed = own.unionByName(other).withColumn("place", F.explode(places))
+    hashed = hashed.select(F.xxhash64("number", "name", "place").alias("hash"), "form", "kind", "towns", "town_known", "code")
+    left, right = (hashed.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in hashed.columns[1:]]) for s in "ab")
     agree = (
-        (F.col("number_a") == F.col("number_b"))
-        & ((F.col("kind_a") == F.col("kind_b")) | (F.col("kind_a") == "") | (F.col("kind_b") == ""))
+        ((F.col("kind_a") == F.col("kind_b")) | (F.col("kind_a") == "") | (F.col("kind_b") == ""))
         & (F.arrays_overlap("towns_a", "towns_b") | ~(F.col("town_known_a") & F.col("town_known_b")))
         & ((F.col("code_a") == F.col("code_b")) | (F.col("code_a") == "") | (F.col("code_b") == ""))
     )
-    alike = met.join(left, "form_a").join(right, "form_b").where(agree).select("form_a", "form_b", F.col("street_a"), F.col("street_b"))
-    alike = alike.mapInArrow(_close, "form_a long, form_b long")
+    alike = left.join(right, "hash").where((F.col("form_a") < F.col("form_b")) & agree).select("form_a", "form_b").distinct()
     both = alike.unionByName(alike.select(F.col("form_b").alias("form_a"), F.col("form_a").alias("form_b")))
-    both = both.unionByName(forms.select(F.col("form").alias("form_a"), F.col("form").alias("form_b")))
-    a, b = read.select(F.col("id").alias("id_a"), F.col("form").alias("form_a")), read.select(F.col("id").alias("id_b"), F.col("form").alias("form_b"))
+    both = both.unionByName(read.groupBy("form").count().where("count > 1").select(F.col("form").alias("form_a"), F.col("form").alias("form_b")))
+    a, b = (read.select(F.col("id").alias(f"id_{s}"), F.col("form").alias(f"form_{s}")) for s in "ab")
     return a.join(both, "form_a").join(b, "form_b").where("id_a < id_b").select("id_a", "id_b")
