@@ -14,92 +14,144 @@ never cut. Ties, repeated rows and repeated ids give one result row for each row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.session import cut_lineage
+
 PREFIX_CHARS = 3
 GOES_ON_SHARE = 0.5
 RARE_CONTEXT = 2
 LIMIT_LEAST_TEXTS = 8
 LIMIT_SHARE_OF_OPEN = 0.05
-
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-_MARK = r"(?:\s*[\[(]?(?:…|\.{3,}|\x{FFFD}+)[\])]?)\s*$"
-_CLOSERS = r"[\"'”’»)\]\}」』]*"
-_END = rf"(?:[.!?](?={_CLOSERS}(?:\s|$))|[。！？])"
-_TOKEN = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+"
-# Endings that finish a text without a full stop.
-_FINISHED = (
-    r"(?:^|\s)[-–—~]\s?(?:the\s)?\p{Lu}[\p{L}\p{M}'’.]*(?:\s\p{L}[\p{L}\p{M}'’.]*){0,2}$"  # signature
-    r"|(?:https?://|www\.)\S+$"  # link
-    r"|(?:^|\s)[#@][\p{L}\p{N}_]{2,}$"  # tag
-    r"|[$€£¥₫]\s?\d[\d.,]*$|\d[\d.,]*\s?(?:[$€£¥₫]|USD|EUR|GBP|VND)$"  # price
-    r"|(?:^|\s)\d{1,3}(?:[.,]\d)?\s?/\s?\d{1,3}$"  # rating
-    r"|[\p{So}\p{Sk}\x{200D}\x{FE0F}]$|(?:^|\s)[:;=8xX]'?-?[)(DPpdO3*/\\|]+$|<3$|\^_?\^$"  # emoji
+GRAMS_PER_STEP = 200_000
+
+_CLOSERS = "[\"'”’»)\\]}」』]*"
+_UNSPACED = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
+_MARK = re.compile("\\s*[\\[(]?(?:\u2026|\\.{3,}|\ufffd+)[\\])]?\\s*$")
+_BREAK = re.compile(f"(?:[.!?](?={_CLOSERS}(?:\\s|$))|[\u3002\uff01\uff1f]){_CLOSERS}\\s*|\n+")
+_CLOSED = re.compile(f"[.!?\u3002\uff01\uff1f]{_CLOSERS}$")
+_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
+_DIGITS = re.compile(r"\d+")
+_NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}]+([^\p{L}]*)")
+_BULLET = re.compile(r"[-*] ")
+_BULLETS = re.compile(r"\n[-*] ")
+# Endings that finish a text without a full stop: signature, link, tag, price, rating, emoji.
+_FINISHED = regex.compile(
+    r"(?:^|\s)[-–—~]\s?(?:the\s)?\p{Lu}[\p{L}\p{M}'’.]*(?:\s\p{L}[\p{L}\p{M}'’.]*){0,2}$"
+    r"|(?:https?://|www\.)\S+$"
+    r"|(?:^|\s)[#@][\p{L}\p{N}_]{2,}$"
+    r"|[$€£¥₫]\s?\d[\d.,]*$|\d[\d.,]*\s?(?:[$€£¥₫]|USD|EUR|GBP|VND)$"
+    r"|(?:^|\s)\d{1,3}(?:[.,]\d)?\s?/\s?\d{1,3}$"
+    r"|[\p{So}\p{Sk}\u200d\ufe0f]$|(?:^|\s)[:;=8xX]'?-?[)(DPpdO3*/\\|]+$|<3$|\^_?\^$"
 )
 
 
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
-def _segments(text: Column) -> Column:
-    """Sentences of a text with their closing signs, line by line."""
-    return F.filter(F.split(F.regexp_replace(text, rf"({_END}{_CLOSERS})\s*", "$1\n"), r"\n+"), lambda s: F.length(F.trim(s)) > 0)
-
-
-def _masked(word: Column) -> Column:
-    """A word of context: numbers and names only by their shape."""
-    name = word.rlike(r"^\p{Lu}[\p{L}\p{M}]+[^\p{L}]*$")
-    shape = F.concat(F.lit("Aa"), F.regexp_extract(word, r"([^\p{L}]*)$", 1))
-    return F.when(name, shape).otherwise(F.regexp_replace(word, r"\d+", "0"))
-
-
-def _words(segment: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(segment, r"\d+", "0"), F.lit(f"({_TOKEN})"), F.lit(1))
-
-
-def _at_or_start(words: Column, j: Column) -> Column:
-    """The word at place `j` (1-based) as context: a sign before the segment, the first word as it is, others masked."""
-    word = F.get(words, j - 1)
-    return F.when(j < 1, F.lit("^")).when(j == 1, word).otherwise(_masked(word))
-
-
-def _context(words: Column, j: Column) -> tuple[Column, Column]:
-    return _at_or_start(words, j - 2), _at_or_start(words, j - 1)
-
-
-def _near_context(words: Column, j: Column) -> Column:
-    """One word of context as it is, for wordings too rare for two."""
-    return F.struct(F.lit("*").alias("c1"), F.when(j < 2, F.lit("^")).otherwise(F.get(words, j - 2)).alias("c2"))
-
-
-def _read(rows: DataFrame, id_col: str, text: str, source: str | None) -> DataFrame:
-    body = _stripped(F.col(text))
-    read = rows.select(
-        F.col(id_col).alias("id"),
-        (F.col(source) if source else F.lit(None).cast("string")).alias("source"),
-        F.length(text).alias("chars"),
-        body.alias("body"),
-    ).where(F.length("body") > 0)
-    read = read.withColumn("marked", F.col("body").rlike(_MARK))
-    read = read.withColumn("bare", F.when(F.col("marked"), F.regexp_replace("body", _MARK, "")).otherwise(F.col("body")))
-    closed = F.col("bare").rlike(rf"{_END}{_CLOSERS}$")
-    return read.withColumn("open", F.when(F.col("marked"), F.lit(True)).otherwise(~closed))
-
-
-def _trigrams(read: DataFrame) -> DataFrame:
-    """(c1, c2, w, on, n): wordings of the corpus with how often they occur and how often they go on."""
-    segment = read.select("open", F.posexplode(_segments(F.col("bare"))).alias("k", "s"), F.size(_segments(F.col("bare"))).alias("of"))
-    words = segment.select(_words(F.col("s")).alias("w"), (F.col("open") & (F.col("k") == F.col("of") - 1)).alias("last_open"))
-    place = words.select("w", "last_open", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("j")).where("size(w) > 0")
-    contexts = F.array(F.struct(*(c.alias(n) for n, c in zip(("c1", "c2"), _context(F.col("w"), F.col("j"))))), _near_context(F.col("w"), F.col("j")))
-    grams = place.select(
-        F.explode(contexts).alias("c"),
-        F.get("w", F.col("j") - 1).alias("w"),
-        (~F.col("last_open") | (F.col("j") < F.size("w"))).cast("long").alias("on"),
-    ).select("c.c1", "c.c2", "w", "on")
-    return grams.groupBy("c1", "c2", "w").agg(F.sum("on").alias("on"), F.count(F.lit(1)).alias("n"))
+def ending(text: str) -> tuple[str, bool, bool]:
+    """(text without outer blanks and mark of omission, marked, open): open if it doesn't end in a finished sentence."""
+    body = text.strip()
+    mark = _MARK.search(body)
+    bare = body[: mark.start()] if mark else body
+    return bare, mark is not None, mark is not None or _CLOSED.search(bare) is None
+
+
+def sentences(bare: str) -> list[str]:
+    """The sentences of a text, line by line."""
+    out, at = [], 0
+    for m in _BREAK.finditer(bare):
+        s = bare[at : m.end()].strip()
+        if s:
+            out.append(s)
+        at = m.end()
+    rest = bare[at:].strip()
+    return out + [rest] if rest else out
+
+
+def tokens_of(sentence: str) -> list[str]:
+    """Words of a sentence; ideographs and syllables stand alone, numbers are masked."""
+    return _TOKEN.findall(_DIGITS.sub("0", sentence))
+
+
+def masked(word: str, known: dict[str, str]) -> str:
+    """A word as context: a name only by its shape."""
+    shape = known.get(word)
+    if shape is None:
+        name = _NAME.fullmatch(word)
+        shape = known[word] = f"Aa{name[1]}" if name else word
+    return shape
+
+
+def _contexts(words: list[str], j: int, known: dict[str, str]) -> tuple[tuple[str, str], tuple[str, str]]:
+    """The two words before place `j`, masked but for the first of the sentence; and the one word before as it is."""
+
+    def at(k: int) -> str:
+        return "^" if k < 0 else words[k] if k == 0 else masked(words[k], known)
+
+    return (at(j - 2), at(j - 1)), ("*", words[j - 1] if j else "^")
+
+
+def _wordings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c1, c2, w, on, n): counted wordings of parts of a batch, and how many of them go on."""
+    known: dict[str, str] = {}
+    seen: Counter = Counter()
+    going: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        keys = list(seen)
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
+        counts = [pa.array([going[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())]
+        seen.clear()
+        going.clear()
+        known.clear()
+        return pa.RecordBatch.from_arrays(columns + counts, ["c1", "c2", "w", "on", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            bare, _, is_open = ending(text)
+            parts = sentences(bare)
+            for i, sentence in enumerate(parts):
+                words = tokens_of(sentence)
+                last = len(words) - 1 if is_open and i == len(parts) - 1 else -1
+                for j, w in enumerate(words):
+                    for c in _contexts(words, j, known):
+                        key = (*c, w)
+                        seen[key] += 1
+                        if j != last:
+                            going[key] += 1
+            if len(seen) >= GRAMS_PER_STEP:
+                yield flush()
+    yield flush()
+
+
+def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with an open end: signs of the end, its context and its last, maybe partial word."""
+    kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
+    names = ["chars", "finished", "whole", "broken", "bullet", "c1", "c2", "near", "tail"]
+    for batch in batches:
+        out: list[tuple] = []
+        rows: list[int] = []
+        for r, text in enumerate(batch.column(2).to_pylist()):
+            bare, marked, is_open = ending(text)
+            if not is_open:
+                continue
+            parts = sentences(bare)
+            segment = parts[-1] if parts else ""
+            words = tokens_of(segment)
+            (c1, c2), (_, near) = _contexts(words, len(words) - 1, {}) if words else (("^", "^"), ("*", "^"))
+            whole = not bare or _CLOSED.search(bare) is not None
+            bullet = _BULLET.match(segment) is not None and _BULLETS.search(text) is not None
+            finished = not marked and _FINISHED.search(segment) is not None
+            rows.append(r)
+            out.append((len(text), finished, whole, text.rstrip().endswith("\ufffd"), bullet, c1, c2, near, words[-1] if words else ""))
+        columns = list(zip(*out)) if out else [[]] * len(kinds)
+        taken = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(2)]
+        yield pa.RecordBatch.from_arrays(taken + [pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "source", *names])
 
 
 def cut_texts(rows: DataFrame, id_col: str, text: str, source: str | None = None) -> DataFrame:
@@ -112,28 +164,16 @@ def cut_texts(rows: DataFrame, id_col: str, text: str, source: str | None = None
     times is replaced by its last word. `cut` is true if any of these holds, or
     the text ends in a broken character, and the end is not a finishing one.
     """
-    read = _read(rows, id_col, text, source)
-    grams = _trigrams(read)
-    last = F.try_element_at(_segments(F.col("bare")), F.lit(-1))
-    ends = read.where("open").withColumn("segment", _stripped(F.coalesce(last, F.lit(""))))
-    bulleted = F.col("body").rlike(r"\n[-–—*] ")
-    ends = ends.withColumn("bullet", bulleted & F.col("segment").rlike(r"^[-*] "))
-    ends = ends.withColumn("finished", ~F.col("marked") & F.col("segment").rlike(_FINISHED))
-    ends = ends.withColumn("whole", F.col("bare").rlike(rf"{_END}{_CLOSERS}$") | (F.length("bare") == 0))
-    ends = ends.withColumn("broken", F.col("body").rlike(r"\x{FFFD}\s*$"))
-    ends = ends.withColumn("w", _words(F.col("segment"))).withColumn("j", F.size("w"))
+    texts = rows.where(F.length(F.trim(F.col(text))) > 0)
+    labelled = texts.select(F.col(id_col).alias("id"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"), F.col(text).alias("t"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    signs = "chars long, finished boolean, whole boolean, broken boolean, bullet boolean, c1 string, c2 string, near string, tail string"
+    ends = cut_lineage(labelled.mapInArrow(_open_ends, f"id {kind}, source string, {signs}"))
     ends = ends.select(
-        "id",
-        "source",
-        "chars",
-        "finished",
-        "whole",
-        "broken",
-        "bullet",
-        F.struct(*(c.alias(n) for n, c in zip(("c1", "c2"), _context(F.col("w"), F.col("j"))))).alias("c"),
-        _near_context(F.col("w"), F.col("j")).alias("near"),
-        F.coalesce(F.get("w", F.col("j") - 1), F.lit("")).alias("tail"),
+        "id", "source", "chars", "finished", "whole", "broken", "bullet", "tail", F.struct("c1", "c2").alias("c"), F.struct(F.lit("*").alias("c1"), F.col("near").alias("c2")).alias("near")
     )
+    grams = texts.select(F.col(text)).mapInArrow(_wordings, "c1 string, c2 string, w string, on long, n long")
+    grams = grams.groupBy("c1", "c2", "w").agg(F.sum("on").alias("on"), F.sum("n").alias("n"))
     asked = ends.select(F.explode(F.array("c", "near")).alias("c"), "tail").distinct()
     asked = asked.select("c.c1", "c.c2", "tail", F.least(F.length("tail"), F.lit(PREFIX_CHARS)).alias("size"), F.expr(f"substring(tail, 1, {PREFIX_CHARS})").alias("prefix"))
     short = grams.where("on > 0").select("c1", "c2", "w", F.explode(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(PREFIX_CHARS)))).alias("size"))
