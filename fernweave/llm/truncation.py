@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -100,30 +101,29 @@ def _wordings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(c1, c2, w, on, n): counted wordings of parts of a batch, and how many of them go on."""
     known: dict[str, str] = {}
     seen: Counter = Counter()
-    going: Counter = Counter()
+    ended: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
         keys = list(seen)
         columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        counts = [pa.array([going[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())]
+        counts = [pa.array([seen[k] - ended[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())]
         seen.clear()
-        going.clear()
+        ended.clear()
         known.clear()
         return pa.RecordBatch.from_arrays(columns + counts, ["c1", "c2", "w", "on", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             bare, _, is_open = ending(text)
-            parts = sentences(bare)
-            for i, sentence in enumerate(parts):
+            words: list[str] = []
+            for sentence in sentences(bare):
                 words = tokens_of(sentence)
-                last = len(words) - 1 if is_open and i == len(parts) - 1 else -1
-                for j, w in enumerate(words):
-                    for c in _contexts(words, j, known):
-                        key = (*c, w)
-                        seen[key] += 1
-                        if j != last:
-                            going[key] += 1
+                shapes = ["^", "^", words[0], *[known.get(w) or masked(w, known) for w in words[1:-1]]]
+                seen.update(zip(shapes, shapes[1:], words))
+                seen.update(zip(repeat("*"), ["^", *words], words))
+            if is_open and words:
+                for c in _contexts(words, len(words) - 1, known):
+                    ended[(*c, words[-1])] += 1
             if len(seen) >= GRAMS_PER_STEP:
                 yield flush()
     yield flush()
@@ -173,7 +173,7 @@ def cut_texts(rows: DataFrame, id_col: str, text: str, source: str | None = None
         "id", "source", "chars", "finished", "whole", "broken", "bullet", "tail", F.struct("c1", "c2").alias("c"), F.struct(F.lit("*").alias("c1"), F.col("near").alias("c2")).alias("near")
     )
     grams = texts.select(F.col(text)).mapInArrow(_wordings, "c1 string, c2 string, w string, on long, n long")
-    grams = grams.groupBy("c1", "c2", "w").agg(F.sum("on").alias("on"), F.sum("n").alias("n"))
+    grams = cut_lineage(grams.groupBy("c1", "c2", "w").agg(F.sum("on").alias("on"), F.sum("n").alias("n")))
     asked = ends.select(F.explode(F.array("c", "near")).alias("c"), "tail").distinct()
     asked = asked.select("c.c1", "c.c2", "tail", F.least(F.length("tail"), F.lit(PREFIX_CHARS)).alias("size"), F.expr(f"substring(tail, 1, {PREFIX_CHARS})").alias("prefix"))
     short = grams.where("on > 0").select("c1", "c2", "w", F.explode(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(PREFIX_CHARS)))).alias("size"))
