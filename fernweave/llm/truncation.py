@@ -32,6 +32,7 @@ RARE_CONTEXT = 2
 LIMIT_LEAST_TEXTS = 8
 LIMIT_SHARE_OF_OPEN = 0.05
 GRAMS_PER_STEP = 200_000
+END_CHARS = 256
 
 _CLOSERS = "[\"'”’»)\\]}」』]*"
 _UNSPACED = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
@@ -57,9 +58,9 @@ _FINISHED = regex.compile(
 def ending(text: str) -> tuple[str, bool, bool]:
     """(text without outer blanks and mark of omission, marked, open): open if it doesn't end in a finished sentence."""
     body = text.strip()
-    mark = _MARK.search(body)
+    mark = _MARK.search(body, max(0, len(body) - END_CHARS))
     bare = body[: mark.start()] if mark else body
-    return bare, mark is not None, mark is not None or _CLOSED.search(bare) is None
+    return bare, mark is not None, mark is not None or _CLOSED.search(bare, max(0, len(bare) - END_CHARS)) is None
 
 
 def sentences(bare: str) -> list[str]:
@@ -140,11 +141,10 @@ def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bare, marked, is_open = ending(text)
             if not is_open:
                 continue
-            parts = sentences(bare)
-            segment = parts[-1] if parts else ""
+            segment = next(reversed(sentences(bare)), "")
             words = tokens_of(segment)
             (c1, c2), (_, near) = _contexts(words, len(words) - 1, {}) if words else (("^", "^"), ("*", "^"))
-            whole = not bare or _CLOSED.search(bare) is not None
+            whole = not bare or _CLOSED.search(bare, max(0, len(bare) - END_CHARS)) is not None
             bullet = _BULLET.match(segment) is not None and _BULLETS.search(text) is not None
             finished = not marked and _FINISHED.search(segment) is not None
             rows.append(r)
