@@ -172,43 +172,55 @@ def near_pairs(points: DataFrame, id_col: str, latitude: Column, longitude: Colu
     return together.mapInPandas(search, "id_a long, id_b long")
 
 
+def _edges_left(lat: np.ndarray, lon: np.ndarray, y1: np.ndarray, x1: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """How many of the ordered edges of one trapezoid row lie left of each point, by binary search."""
+    low, high = np.zeros(len(lat), np.int64), np.full(len(lat), len(y1), np.int64)
+    while (low < high).any():
+        middle = (low + high) // 2
+        k = np.minimum(middle, len(y1) - 1)
+        left = x1[k] + (lat - y1[k]) * slope[k] <= lon
+        searching = low < high
+        low, high = np.where(searching & left, middle + 1, low), np.where(searching & ~left, middle, high)
+    return low
+
+
 def _locate(points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Regions of the points of one slab, by binary search among the edges of their trapezoids."""
-    out_p, out_r = [], []
-    lat, lon = points["lat"].to_numpy(), points["lon"].to_numpy()
-    y1, x1, y2, x2 = (edges[c].to_numpy() for c in ("y1", "x1", "y2", "x2"))
-    region = edges["region"].to_numpy()
+    """Regions of the points of one slab.
+
+    The slab is cut at every corner, so that edges cross a row from bottom to top. Where
+    they don't cross one another they have one order, and the regions between two edges
+    are known; rows in which regions overlap are searched region by region.
+    """
+    out: list[tuple[np.ndarray, str]] = []
+    ids, lat, lon = (points[c].to_numpy() for c in ("id", "lat", "lon"))
+    y1, x1, y2, x2, region = (edges[c].to_numpy() for c in ("y1", "x1", "y2", "x2", "region"))
     cuts = np.unique(np.concatenate([y1, y2]))
     slot = np.searchsorted(cuts, lat, "right") - 1
     for s in np.unique(slot):
         if s < 0 or s + 1 >= len(cuts):
             continue
         mine = np.flatnonzero(slot == s)
-        mid = (cuts[s] + cuts[s + 1]) / 2
         e = np.flatnonzero((y1 <= cuts[s]) & (y2 >= cuts[s + 1]))
         slope = (x2[e] - x1[e]) / (y2[e] - y1[e])
-        order = np.argsort(x1[e] + (mid - y1[e]) * slope, kind="stable")
-        e, slope = e[order], slope[order]
-        lo, hi = np.zeros(len(mine), np.int64), np.full(len(mine), len(e), np.int64)
-        while (lo < hi).any():
-            m = (lo + hi) // 2
-            k = np.minimum(m, len(e) - 1)
-            left = x1[e[k]] + (lat[mine] - y1[e[k]]) * slope[k] <= lon[mine]
-            open_ = lo < hi
-            lo, hi = np.where(open_ & left, m + 1, lo), np.where(open_ & ~left, m, hi)
-        inside: set = set()
-        covering = [()]
-        for k in e:
-            inside ^= {region[k]}
-            covering.append(tuple(sorted(inside)))
-        for trapezoid in np.unique(lo):
-            for r in covering[trapezoid]:
-                hit = mine[lo == trapezoid]
-                out_p.append(points["id"].to_numpy()[hit])
-                out_r.append(np.full(len(hit), r, dtype=object))
-    if not out_p:
+        bottom, top = (x1[e] + (y - y1[e]) * slope for y in (cuts[s], cuts[s + 1]))
+        order = np.lexsort((top, bottom))
+        e, slope, top = e[order], slope[order], top[order]
+        if (np.diff(top) >= 0).all():
+            place = _edges_left(lat[mine], lon[mine], y1[e], x1[e], slope)
+            inside: set = set()
+            for k in range(len(e) + 1):
+                here = mine[place == k] if inside else mine[:0]
+                out += [(ids[here], r) for r in inside if len(here)]
+                if k < len(e):
+                    inside = inside ^ {region[e[k]]}
+        else:
+            for r in np.unique(region[e]):
+                own = np.flatnonzero(region[e] == r)
+                place = _edges_left(lat[mine], lon[mine], y1[e[own]], x1[e[own]], slope[own])
+                out.append((ids[mine[place % 2 == 1]], r))
+    if not out:
         return pd.DataFrame({"id": np.array([], np.int64), "region": np.array([], object)})
-    return pd.DataFrame({"id": np.concatenate(out_p), "region": np.concatenate(out_r)})
+    return pd.DataFrame({"id": np.concatenate([i for i, _ in out]), "region": np.concatenate([np.full(len(i), r, object) for i, r in out])})
 
 
 def points_in_regions(points: DataFrame, id_col: str, latitude: Column, longitude: Column, regions: DataFrame, slab_degrees: float = 0.05, points_per_task: int = 100_000) -> DataFrame:
