@@ -31,6 +31,7 @@ SAMPLE_PER_LANGUAGE = 800
 BUCKETS = 1 << 16
 DIMENSIONS = 12
 EPOCHS = 8
+LEAST_STEPS = 600
 RATE = 4.0
 HELD_OUT = 5
 LEAST_LETTERS = 6
@@ -164,10 +165,11 @@ def train(texts: list[str], labels: list[str], seed: int = 6) -> dict:
     chosen = np.flatnonzero(usable & ~held)
     embed = rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weight, bias = np.zeros((DIMENSIONS, len(LANGUAGES)), np.float32), np.zeros(len(LANGUAGES), np.float32)
-    steps = max(1, EPOCHS * -(-len(chosen) // 32))
-    step = 0
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(chosen), max(1, -(-len(chosen) // 32))):
+    batches = max(1, -(-len(chosen) // 32))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches)) if len(chosen) else 0
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(chosen), batches):
             batch = np.sort(batch)
             n = size[batch]
             own = np.repeat(np.arange(len(batch)), n)
