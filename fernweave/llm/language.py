@@ -31,7 +31,7 @@ SAMPLE_PER_LANGUAGE = 800
 BUCKETS = 1 << 16
 DIMENSIONS = 12
 EPOCHS = 8
-LEAST_STEPS = 600
+LEAST_STEPS = 150
 RATE = 4.0
 HELD_OUT = 5
 LEAST_LETTERS = 6

@@ -87,7 +87,7 @@ def test_labels(spark):
 
 def test_empty_table_and_long_text(spark):
     assert L.mislabelled(spark.createDataFrame([], SCHEMA), "id", "label", "t").count() == 0
-    rows, _ = corpus(200)
+    rows, _ = corpus()
     rows.append((5000, None, "das Spiel läuft und meine Freunde haben viele Stunden. " * 20_000, None, None))
     got = {(r.id, r.lang) for r in L.mislabelled(spark.createDataFrame(rows, SCHEMA), "id", "label", "t").collect()}
     assert (5000, "de") in got
