@@ -27,18 +27,18 @@ def last_value(value: Column, seq: Column) -> Column:
     return F.max_by(value, seq)
 
 
-def union_of_lists(values: Column) -> Column:
-    """Aggregate: the distinct members of all lists of a group, sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(values))))
+def members(rows: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
+    """(`keys`, `values`): the distinct members of all lists of a key, sorted; members are made distinct before they are brought together."""
+    each = rows.select(*keys, F.explode(values).alias("_m")).where(F.col("_m").isNotNull()).distinct()
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_set("_m")).alias(values))
 
 
 def merged(rows: DataFrame, key: Column, seq: str, first: Sequence[str], lists: Sequence[str]) -> DataFrame:
     """One row per key: first non-blank scalars, union of lists, number of records; null keys stay apart by `seq`."""
     own = F.coalesce(key, F.concat(F.lit("\x00"), F.col(seq).cast("string")))
-    grouped = rows.withColumn("_key", own).groupBy("_key")
-    return grouped.agg(
-        F.min(seq).alias(seq),
-        *[first_value(F.col(c), F.col(seq)).alias(c) for c in first],
-        *[union_of_lists(F.col(c)).alias(c) for c in lists],
-        F.count(F.lit(1)).alias("records"),
-    ).drop("_key")
+    keyed = rows.withColumn("_key", own)
+    scalars = [first_value(F.col(c), F.col(seq)).alias(c) for c in first]
+    out = keyed.groupBy("_key").agg(F.min(seq).alias(seq), *scalars, F.count(F.lit(1)).alias("records"))
+    for c in lists:
+        out = out.join(members(keyed, ["_key"], c), "_key", "left")
+    return out.drop("_key")

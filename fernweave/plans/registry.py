@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from fernweave.plans import core_queries
+from fernweave.plans import core_queries, feedback_queries
 
-FLAGSHIP = "p4_found"
-_MODULES = (core_queries,)
+FLAGSHIP = "win_3_topic_changes"
+_CATALOGS = (feedback_queries.query,)
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return core_queries.QUERIES | {name: f for c in _CATALOGS for name, f in c.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+    return core_queries.ORACLE_SQL | {name: sql for c in _CATALOGS for name, sql in c.sql.items()}
