@@ -14,8 +14,8 @@ _AROUND = f"created >= {BOUNDARY - SPAN} AND created < {BOUNDARY + SPAN}"
 _PERIOD = f"CASE WHEN created >= {BOUNDARY - SPAN} AND created < {BOUNDARY} THEN 'before' WHEN created >= {BOUNDARY} AND created < {BOUNDARY + SPAN} THEN 'after' END"
 
 
-def _topics(spark, sf_dir):
-    return analysed(spark, sf_dir).withColumn("topic", F.explode("topics"))
+def _topics(spark, sf_dir, around=False):
+    return analysed(spark, sf_dir, around).withColumn("topic", F.explode("topics"))
 
 
 def _periods(rows):
@@ -75,13 +75,13 @@ def cls_2_patterns(spark, sf_dir):
 @query(f"WITH {REVIEWS_SQL} SELECT seq FROM rev WHERE {_AROUND} AND positive")
 def flt_1_date_range(spark, sf_dir):
     """Positive reviews in a date range; a review without time isn't in it."""
-    return reviews(spark, sf_dir).where(F.col("created").between(BOUNDARY - SPAN, BOUNDARY + SPAN - 1) & F.col("positive")).select("seq")
+    return reviews(spark, sf_dir, True).where("positive").select("seq")
 
 
 @query(f"WITH {REVIEWS_SQL} SELECT seq, {_PERIOD} AS period FROM rev WHERE {_PERIOD} IS NOT NULL")
 def flt_6_period(spark, sf_dir):
     """The period of each review around the boundary."""
-    return _periods(reviews(spark, sf_dir)).select("seq", "period")
+    return _periods(reviews(spark, sf_dir, True)).select("seq", "period")
 
 
 @query(f"""WITH {TOPICS_SQL}, c AS (SELECT product_id, topic, count(*) FILTER (created < {BOUNDARY}) AS before, count(*) FILTER (created >= {BOUNDARY}) AS after,
@@ -94,7 +94,7 @@ def flt_6_period(spark, sf_dir):
     negative_before >= 3 AND round(sb - sa, 12) >= 0.08 AS improvement FROM r""")
 def flt_14_change_signs(spark, sf_dir):
     """New issues, regressions and improvements of topics by thresholds on rates and negative shares."""
-    rows = _periods(analysed(spark, sf_dir))
+    rows = _periods(analysed(spark, sf_dir, True))
     before, negative = F.col("period") == "before", F.col("sentiment") == "negative"
     counts = rows.withColumn("topic", F.explode("topics")).groupBy("product_id", "topic").agg(
         F.count_if(before).alias("before"), F.count_if(~before).alias("after"), F.count_if(before & negative).alias("negative_before"), F.count_if(~before & negative).alias("negative_after")
@@ -120,7 +120,7 @@ def jn_1_last_match(spark, sf_dir):
   SELECT product_id, topic, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after FROM b FULL JOIN a USING (product_id, topic)""")
 def jn_4_both_periods(spark, sf_dir):
     """Topic counts of both periods, zero where a period lacks the topic."""
-    counted = _periods(_topics(spark, sf_dir)).groupBy("product_id", "topic", "period").agg(F.count(F.lit(1)).alias("n"))
+    counted = _periods(_topics(spark, sf_dir, True)).groupBy("product_id", "topic", "period").agg(F.count(F.lit(1)).alias("n"))
     return joins.both_sides(counted.where("period = 'before'"), counted.where("period = 'after'"), ["product_id", "topic"], ["n"])
 
 
@@ -128,7 +128,7 @@ def jn_4_both_periods(spark, sf_dir):
   AND NOT EXISTS (SELECT 1 FROM top b WHERE b.product_id = a.product_id AND b.topic = a.topic AND b.created >= {BOUNDARY - SPAN} AND b.created < {BOUNDARY})""")
 def jn_5_only_after(spark, sf_dir):
     """Topics of a product that appear only after the boundary."""
-    counted = periods.compared(_periods(_topics(spark, sf_dir)), ["product_id", "topic"])
+    counted = periods.compared(_periods(_topics(spark, sf_dir, True)), ["product_id", "topic"])
     return counted.where("before = 0").select("product_id", "topic")
 
 
@@ -145,7 +145,7 @@ def jn_6_shared_topics(spark, sf_dir):
   SELECT wish, count(*) FILTER (period = 'before') AS before, count(*) FILTER (period = 'after') AS after FROM w WHERE wish <> '' AND period IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (period = 'after') > 0""")
 def jn_7_wishes(spark, sf_dir):
     """Wishes by period, those still made after the boundary."""
-    rows = _periods(reviews(spark, sf_dir)).withColumn("wish", F.regexp_extract("low", "please rework the ([a-z -]+), because", 1)).where("wish <> ''")
+    rows = _periods(reviews(spark, sf_dir, True)).withColumn("wish", F.regexp_extract("low", "please rework the ([a-z -]+), because", 1)).where("wish <> ''")
     return periods.compared(rows, ["wish"]).where("after > 0").select("wish", "before", "after")
 
 
@@ -211,7 +211,7 @@ def agg_6_topic_stats(spark, sf_dir):
   SELECT c.*, array_to_string((SELECT list(seq ORDER BY seq) FROM e WHERE e.period = c.period AND e.topic = c.topic), ',') AS evidence FROM c""")
 def agg_9_period_themes(spark, sf_dir):
     """Mentions of themes in each period with the first two reviews as evidence."""
-    rows = _periods(_topics(spark, sf_dir))
+    rows = _periods(_topics(spark, sf_dir, True))
     counted = rows.groupBy("period", "topic").agg(F.count(F.lit(1)).alias("mentions"), F.count_if(F.col("sentiment") == "negative").alias("negative"))
     two = ranking.top_per_key(rows.select("period", "topic", "seq"), ["period", "topic"], [F.col("seq")], 2)
     listed = two.groupBy("period", "topic").agg(F.array_join(F.array_sort(F.collect_list("seq")).cast("array<string>"), ",").alias("evidence"))
@@ -245,7 +245,7 @@ def agg_11_dimensions(spark, sf_dir):
   SELECT dimension, key, count(*) FILTER (created < {BOUNDARY}) AS before, count(*) FILTER (created >= {BOUNDARY}) AS after FROM d WHERE {_AROUND} AND key IS NOT NULL GROUP BY 1, 2""")
 def agg_13_impact(spark, sf_dir):
     """Counts of both periods along several dimensions at once."""
-    rows = _periods(reviews(spark, sf_dir)).select("period", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("key")) for d in ("language", "platform")])).alias("d"))
+    rows = _periods(reviews(spark, sf_dir, True)).select("period", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("key")) for d in ("language", "platform")])).alias("d"))
     return periods.compared(rows.select("period", "d.*").where(F.col("key").isNotNull()), ["dimension", "key"]).select("dimension", "key", "before", "after")
 
 
@@ -265,7 +265,7 @@ def agg_24_quality(spark, sf_dir):
   SELECT *, after - before AS change, CASE WHEN after > before THEN 'increased' WHEN after < before THEN 'decreased' ELSE 'unchanged' END AS direction FROM c""")
 def win_3_topic_changes(spark, sf_dir):
     """Which topics of each product grew or shrank after the boundary."""
-    return periods.compared(_periods(_topics(spark, sf_dir)), ["product_id", "topic"])
+    return periods.compared(_periods(_topics(spark, sf_dir, True)), ["product_id", "topic"])
 
 
 @query(f"""WITH {REVIEWS_SQL}, c AS (SELECT product_id, count(*) FILTER (created < {BOUNDARY}) AS n_before, count(*) FILTER (created >= {BOUNDARY}) AS n_after,
@@ -275,14 +275,14 @@ def win_3_topic_changes(spark, sf_dir):
     WHEN x < 0.04 THEN 'stable' WHEN x < 0.1 THEN 'better' ELSE 'much_better' END AS direction FROM d""")
 def win_4_sentiment_shift(spark, sf_dir):
     """Direction of each product's positive rate over the boundary."""
-    return periods.sentiment_shift(_periods(reviews(spark, sf_dir)), ["product_id"], F.col("positive"))
+    return periods.sentiment_shift(_periods(reviews(spark, sf_dir, True)), ["product_id"], F.col("positive"))
 
 
 @query(f"""WITH {REVIEWS_SQL}, p AS (SELECT *, {_PERIOD} AS period FROM rev), c AS (SELECT product_id, period, count(*) AS n, min(created) AS first_at, max(created) AS last_at FROM p WHERE period IS NOT NULL GROUP BY 1, 2)
   SELECT *, CASE WHEN n < 8 THEN 'insufficient' WHEN first_at <= CASE period WHEN 'before' THEN {BOUNDARY - SPAN} ELSE {BOUNDARY} END + 86400 THEN 'full' ELSE 'partial' END AS status FROM c""")
 def win_7_coverage(spark, sf_dir):
     """How far each product's periods are covered."""
-    return periods.coverage(_periods(reviews(spark, sf_dir)), ["product_id"], "created", BOUNDARY, SPAN)
+    return periods.coverage(_periods(reviews(spark, sf_dir, True)), ["product_id"], "created", BOUNDARY, SPAN)
 
 
 @query(f"""WITH {TOPICS_SQL}, b AS (SELECT product_id, min(created) + 30 * 86400 AS edge FROM rev WHERE created IS NOT NULL GROUP BY 1)

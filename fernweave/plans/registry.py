@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fernweave.plans import core_queries, entity_queries, feedback_queries
+from fernweave.plans import core_queries, entity_queries, extension_queries, feedback_queries
 
 FLAGSHIP = "win_3_topic_changes"
-_CATALOGS = (feedback_queries.query, entity_queries.query)
+_CATALOGS = (feedback_queries.query, entity_queries.query, extension_queries.query)
 
 
 def queries() -> dict:

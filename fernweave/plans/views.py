@@ -15,9 +15,12 @@ BOUNDARY = 1748736000
 SPAN = 60 * 86400
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Game reviews with flat names: one row per delivery."""
-    return table(spark, sf_dir, "game_reviews").select(
+def reviews(spark: SparkSession, sf_dir: str, around: bool = False) -> DataFrame:
+    """Game reviews with flat names: one row per delivery; with `around` only those of the compared periods, tested on the stored column so that the scan can skip."""
+    rows = table(spark, sf_dir, "game_reviews")
+    if around:
+        rows = rows.where((F.col("timestamp_created") >= BOUNDARY - SPAN) & (F.col("timestamp_created") < BOUNDARY + SPAN))
+    return rows.select(
         F.col("row_id").alias("seq"),
         F.col("recommendationid").alias("review_id"),
         F.col("appid").alias("product_id"),
@@ -33,11 +36,11 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def analysed(spark: SparkSession, sf_dir: str, around: bool = False) -> DataFrame:
     """Reviews with topics, sentiment and request sign."""
     low = F.col("low")
     return (
-        reviews(spark, sf_dir)
+        reviews(spark, sf_dir, around)
         .withColumn("topics", rules.topics_of(low, GAME_RULES))
         .withColumn("sentiment", rules.sentiment_of(low, GAME_RULES))
         .withColumn("request", rules.hit(low, GAME_RULES.requests))
