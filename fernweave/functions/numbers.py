@@ -13,12 +13,16 @@ def clamped(value: Column, low: float, high: float) -> Column:
 
 
 def fixed(value: Column, places: int = 2) -> Column:
-    """`value` rounded by its exact binary value, halves upwards, as a double."""
-    scale = 10**places
-    down = F.floor(F.abs(value) * scale) / scale
-    exact = value.cast("decimal(38,20)")
-    up = (F.abs(exact) - down.cast("decimal(38,20)")) * 2 >= F.lit(1).cast("decimal(38,20)") / scale
-    whole = F.when(up, F.floor(F.abs(value) * scale) + 1).otherwise(F.floor(F.abs(value) * scale)) / scale
+    """`value` rounded by its exact binary value, halves away from zero, as a double.
+
+    The number format rounds the exact value with halves to even; exact halves are the odd
+    multiples of a power of two and are rounded here.
+    """
+    size = F.abs(value)
+    eighths = size * 2 ** (places + 1)
+    half = (eighths == F.floor(eighths)) & (F.floor(eighths) % 2 == 1)
+    nearest = F.call_function("format_number", size, F.lit("0." + "0" * places)).cast("double")
+    whole = F.when(half, (F.floor(size * 10**places) + 1) / 10**places).otherwise(nearest)
     return F.when(value < 0, -whole).otherwise(whole)
 
 
