@@ -22,7 +22,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
         if shared is None:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir is not set on this cluster")
