@@ -17,9 +17,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every dish name in its one form."""
-    items = table(spark, sf_dir, "menu_items")
-    return lookalikes.canonical_forms(items, "item_id", "restaurantId", "nameOriginal").select(F.col("id").alias("item_id"), "canonical")
+    """Every review and dish name in its one form."""
+    asked = (("game_reviews", "row_id", "appid", "review"), ("menu_items", "item_id", "restaurantId", "nameOriginal"))
+    reviews, dishes = (lookalikes.canonical_forms(table(spark, sf_dir, t), i, g, c).select(F.lit(t).alias("source_table"), "id", "canonical") for t, i, g, c in asked)
+    return reviews.unionByName(dishes)
 
 
 def _directory(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
