@@ -39,6 +39,7 @@ LEAST_LETTERS_UNSPACED = 3
 SEGMENT_WORDS = 3
 ERROR_AIM = 0.005
 CHARS_PER_STEP = 1_000_000
+SEGMENT_CHARS = 20_000
 
 # Names of languages as labels write them, beside the two-letter codes.
 LABEL_NAMES = {
@@ -205,17 +206,26 @@ def train(texts: list[str], labels: list[str], seed: int = 6) -> dict:
 
 
 def segments_of(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, segment) of the sentences of a text, in one line each."""
+    """(begin, end, segment) of the sentences of a text, in one line each; endless ones in parts of `SEGMENT_CHARS`."""
     out, at = [], 0
     for m in [*_BREAK.finditer(text), None]:
         end = m.start() if m else len(text)
-        s = text[at:end]
-        if s and not s.isspace():
-            out.append((at, end, s.replace("\n", " ").replace("\r", " ")))
+        for k in range(at, end, SEGMENT_CHARS):
+            s = text[k : min(k + SEGMENT_CHARS, end)]
+            if not s.isspace():
+                out.append((k, k + len(s), s.replace("\n", " ").replace("\r", " ")))
         at = m.end() if m else end
     return out
 
 
+def _scored(segments: list[str], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probabilities, letters, words) of each segment."""
+    buckets, owner, letters, words = features(segments)
+    size = np.bincount(owner, minlength=len(segments))
+    raw = _sums(model["table"], buckets, owner, len(segments))
+    return _softmax((raw / np.maximum(3 * size, 1)[:, None] + model["bias"]) / model["temperature"]), letters, words
+
+
 def judge(texts: list[str | None], model: dict) -> list[list[tuple[int, int, str, float]]]:
     """For each text its (begin, end, language, confidence): one entry, one for each segment group of a mixed text, or none."""
     parts: list[tuple[int, int, str]] = []
@@ -228,10 +238,7 @@ def judge(texts: list[str | None], model: dict) -> list[list[tuple[int, int, str
     result: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     if not parts:
         return result
-    buckets, owner, letters, words = features([p[2] for p in parts])
-    size = np.bincount(owner, minlength=len(parts))
-    raw = _sums(model["table"], buckets, owner, len(parts))
-    p = _softmax((raw / np.maximum(3 * size, 1)[:, None] + model["bias"]) / model["temperature"])
+    p, letters, words = (np.concatenate(x) for x in zip(*(_scored([q[2] for q in parts[a:b]], model) for a, b in _steps([q[2] for q in parts]))))
     enough = (letters >= LEAST_LETTERS) | (letters <= -LEAST_LETTERS_UNSPACED)
     sure, best = p.max(axis=1), p.argmax(axis=1)
     several = enough & (words >= SEGMENT_WORDS) & (sure >= model["threshold"])
