@@ -38,6 +38,7 @@ SIZE_LIMITS = (8, 15, WINDOW_SHINGLES)
 CHANGED_WORDS = 2
 RECALL = 0.999
 ITEMS_PER_BLOCK = 5_000
+CHARS_PER_STEP = 4_000_000
 LEAST_WORDS = 5
 CHANGE_COST = 1.5
 MATCHED_SHARE = 0.7
@@ -183,6 +184,18 @@ def longest_stretch(document: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
+def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in parts of at most `CHARS_PER_STEP` characters or one text."""
+    for batch in batches:
+        ends = batch["t"].str.len().to_numpy().cumsum()
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + CHARS_PER_STEP, "right")))
+            yield batch.iloc[start:stop]
+            start = stop
+
+
 def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(`doc_id`, `item_id`, `words`): documents that contain an item, with the length of the longest stretch."""
     spark = documents.sparkSession
@@ -196,9 +209,9 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value
-            for batch in batches:
-                ids = batch["doc_id"].to_numpy()
-                codes, lengths = _codes([words_of(t) for t in batch["t"]])
+            for part in _steps(batches):
+                ids = part["doc_id"].to_numpy()
+                codes, lengths = _codes([words_of(t) for t in part["t"]])
                 starts = np.cumsum(lengths) - lengths
                 rows = []
                 for d, i in index.candidates(codes, lengths):
