@@ -197,10 +197,10 @@ def cut_texts(rows: DataFrame, id_col: str, text: str, source: str | None = None
         .agg(F.count(F.lit(1)).alias("here"))
     )
     totals = limits.groupBy("source").agg(F.sum("here").alias("all_open"))
-    limits = limits.join(totals, "source").where(
+    limits = limits.join(totals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(
         (F.col("here") >= LIMIT_LEAST_TEXTS) & (F.col("here") >= LIMIT_SHARE_OF_OPEN * F.col("all_open"))
-    ).select("source", "chars", F.lit(True).alias("at_limit"))
-    flagged = flagged.join(limits, ["source", "chars"], "left")
+    ).select(F.col("source").alias("s"), F.col("chars").alias("length"), F.lit(True).alias("at_limit"))
+    flagged = flagged.join(limits, F.col("source").eqNullSafe(F.col("s")) & (F.col("chars") == F.col("length")), "left")
     goes_on = F.coalesce(F.col("share") >= GOES_ON_SHARE, F.lit(False)) & ~F.col("bullet")
     at_limit = F.coalesce(F.col("at_limit"), F.lit(False))
     copy = F.col("longer_copy")

@@ -64,3 +64,11 @@ def test_share_of_each_source(spark):
     frame = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], SCHEMA)
     got = {r.source: (r.texts, r.cut) for r in T.cut_by_source(frame, "doc_id", "text", "source").collect()}
     assert got[None] == (1, 0) and got["s"][0] == 300 and abs(got["s"][1] - len(cut)) <= 3
+
+
+def test_limit_of_texts_without_source(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4))
+    rows = [(k, " ".join(word() for _ in range(7))[:60], None if k % 2 else "feed") for k in range(40)]
+    got = T.cut_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").where("at_limit and cut")
+    assert sorted(r.id for r in got.collect()) == list(range(40))
