@@ -1,219 +1,271 @@
 """Texts that were cut off by a field limit or in transfer.
 
-A text that doesn't end in a finished sentence has an open end. Its last words are
-compared with all sentences of the corpus: the text counts as cut if the open end is a
-strict prefix of a longer wording elsewhere. Wordings are compared in pieces, by hash
-joins on two words of context and a prefix of fixed length of the third, so that no text
-is compared with all others. Two further signs hold where no longer copy exists: words
-that elsewhere are always followed by more, and a length at which its source piles up
-open ends (its field limit).
-
-Names and numbers in the context are masked by their shape. Null and blank texts are
-never cut. Ties, repeated rows and repeated ids give one result row for each row.
+A text that doesn't end in a finished sentence has an open end. Its value is the last
+sentence; the text counts as cut if that value is a strict prefix of a longer copy, that
+is of a longer sentence elsewhere in the corpus (`longer_copy`). All values are sorted
+once by ranges: the copies of which a value is a prefix stand right behind it, so one
+look at the next sentence decides, across the border of two ranges too. Before the
+comparison numbers, names and addresses are masked, as a copy seldom repeats them.
+
+An end with no copy as a whole is compared by its last words: two words of context and a
+partial word that is the strict prefix of a longer one, joined by hashes of fixed-length
+prefixes (`longer_part`). Two further signs hold where there is no copy at all: words
+that elsewhere always go on, unless several texts end with just these words
+(`goes_on`), and a length at which its source piles up open ends (`at_limit`).
+
+An end that finishes a text without a full stop (signature, link, tag, price, rating,
+emoji) is no cut, unless the whole text is a strict prefix of a longer one (`longer_text`).
+
+Null and blank texts are never cut. Ties, repeated rows and repeated ids give one result
+row for each row; a null source is a source of its own. Texts are read whole.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernweave.session import cut_lineage
 
 PREFIX_CHARS = 3
+TEXT_PREFIXES = (64, 16, 1)
 GOES_ON_SHARE = 0.5
-RARE_CONTEXT = 2
-LIMIT_LEAST_TEXTS = 8
 LIMIT_SHARE_OF_OPEN = 0.05
-GRAMS_PER_STEP = 200_000
-END_CHARS = 256
+LIMIT_DEVIATIONS = 5.0
+LIMIT_NEIGHBOURS = 10
+NAMED_START_WORDS = 3
 
+_BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CLOSERS = "[\"'”’»)\\]}」』]*"
-_UNSPACED = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af"
-_MARK = re.compile("\\s*[\\[(]?(?:\u2026|\\.{3,}|\ufffd+)[\\])]?\\s*$")
-_BREAK = re.compile(f"(?:[.!?](?={_CLOSERS}(?:\\s|$))|[\u3002\uff01\uff1f]){_CLOSERS}\\s*|\n+")
-_CLOSED = re.compile(f"[.!?\u3002\uff01\uff1f]{_CLOSERS}$")
-_TOKEN = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
-_DIGITS = re.compile(r"\d+")
-_NAME = regex.compile(r"\p{Lu}[\p{L}\p{M}]+([^\p{L}]*)")
-_BULLET = re.compile(r"[-*] ")
-_BULLETS = re.compile(r"\n[-*] ")
+_UNSPACED = "ぁ-ヿ㐀-䶿一-鿿가-힯"
+_MARK = rf"{_BLANK}*[\[(]?(?:…|\.{{3,}}|\x{{fffd}}+)[\])]?\z"
+_CLOSED = rf"[.!?。！？]{_CLOSERS}\z"
+_BREAK = rf"([.!?]{_CLOSERS}(?:{_BLANK}+|\z)|[。！？]{_CLOSERS}{_BLANK}*|\n+)"
+_ADDRESS = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]*[\p{L}\p{N}_]|[\p{L}\p{N}_.+-]+@|(?:https?://|www\.)[^ ]*"
+_ONE_NAME = r"(?:\p{Lu}[\p{L}\p{M}'’]*|[0-9]+(?:[.,][0-9]+)*)"
+_NAMES = rf"([ (\"'«„“/-]){_ONE_NAME}(?:[ -]{_ONE_NAME})*"
+_FIRST_NAME = r"^\p{Lu}[\p{L}\p{M}'’]*(?:[ -]#)*"
+_BULLET = r"^[-*•] +"
 # Endings that finish a text without a full stop: signature, link, tag, price, rating, emoji.
-_FINISHED = regex.compile(
+_FINISHED = (
     r"(?:^|\s)[-–—~]\s?(?:the\s)?\p{Lu}[\p{L}\p{M}'’.]*(?:\s\p{L}[\p{L}\p{M}'’.]*){0,2}$"
     r"|(?:https?://|www\.)\S+$"
     r"|(?:^|\s)[#@][\p{L}\p{N}_]{2,}$"
     r"|[$€£¥₫]\s?\d[\d.,]*$|\d[\d.,]*\s?(?:[$€£¥₫]|USD|EUR|GBP|VND)$"
     r"|(?:^|\s)\d{1,3}(?:[.,]\d)?\s?/\s?\d{1,3}$"
-    r"|[\p{So}\p{Sk}\u200d\ufe0f]$|(?:^|\s)[:;=8xX]'?-?[)(DPpdO3*/\\|]+$|<3$|\^_?\^$"
+    r"|[\p{So}\p{Sk}\x{200d}\x{fe0f}]$|(?:^|\s)[:;=8xX]'?-?[)(DPpdO3*/\\|]+$|<3$|\^_?\^$"
 )
+_CUT = "\u0001"
+_NAMED = "\u0002"
 
 
-def ending(text: str) -> tuple[str, bool, bool]:
-    """(text without outer blanks and mark of omission, marked, open): open if it doesn't end in a finished sentence."""
-    body = text.strip()
-    mark = _MARK.search(body, max(0, len(body) - END_CHARS))
-    bare = body[: mark.start()] if mark else body
-    return bare, mark is not None, mark is not None or _CLOSED.search(bare, max(0, len(bare) - END_CHARS)) is None
+def bodies(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(texts without outer blanks, those without a mark of omission at the end, open): open if a text doesn't end in a finished sentence."""
+    body = pc.utf8_trim_whitespace(pc.replace_substring_regex(texts, f"[{_CUT}{_NAMED}]", " "))
+    bare = pc.replace_substring_regex(body, _MARK, "")
+    return body, bare, pc.or_(pc.not_equal(body, bare), pc.invert(pc.match_substring_regex(bare, _CLOSED)))
 
 
-def sentences(bare: str) -> list[str]:
-    """The sentences of a text, line by line."""
-    out, at = [], 0
-    for m in _BREAK.finditer(bare):
-        s = bare[at : m.end()].strip()
-        if s:
-            out.append(s)
-        at = m.end()
-    rest = bare[at:].strip()
-    return out + [rest] if rest else out
+def sentences(bare: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(sentence, text): the sentences of all texts, line by line, without blank ones, and the place of the text of each."""
+    parts = pc.split_pattern(pc.replace_substring_regex(bare, _BREAK, "\\1" + _CUT), _CUT)
+    flat = pc.utf8_trim_whitespace(pc.list_flatten(parts))
+    kept = pc.not_equal(flat, "")
+    return flat.filter(kept), pc.list_parent_indices(parts).filter(kept).to_numpy()
 
 
-def tokens_of(sentence: str) -> list[str]:
-    """Words of a sentence; ideographs and syllables stand alone, numbers are masked."""
-    return _TOKEN.findall(_DIGITS.sub("0", sentence))
+def masked(sentences: pa.Array) -> pa.Array:
+    """Sentences without a list sign as they are compared: addresses, numbers and names masked; the first word stays."""
+    out = pc.replace_substring_regex(sentences, _BULLET, "")
+    if pc.any(pc.match_substring_regex(out, "@|://|www")).as_py():
+        out = pc.replace_substring_regex(out, _ADDRESS, "@")
+    return pc.replace_substring_regex(pc.replace_substring_regex(out, _NAMES, "\\1#"), "^[0-9]+(?:[.,][0-9]+)*", "#")
 
 
-def masked(word: str, known: dict[str, str]) -> str:
-    """A word as context: a name only by its shape."""
-    shape = known.get(word)
-    if shape is None:
-        name = _NAME.fullmatch(word)
-        shape = known[word] = f"Aa{name[1]}" if name else word
-    return shape
+def named_start(value: Column) -> Column:
+    """A masked sentence whose first word is masked as a name, too."""
+    return F.concat(F.lit(_NAMED), F.regexp_replace(value, _FIRST_NAME, "#"))
 
 
-def _contexts(words: list[str], j: int, known: dict[str, str]) -> tuple[tuple[str, str], tuple[str, str]]:
-    """The two words before place `j`, masked but for the first of the sentence; and the one word before as it is."""
+def listed(value: Column) -> Column:
+    """A masked sentence as an item of a list."""
+    return F.concat(F.lit("- "), value)
 
-    def at(k: int) -> str:
-        return "^" if k < 0 else words[k] if k == 0 else masked(words[k], known)
 
-    return (at(j - 2), at(j - 1)), ("*", words[j - 1] if j else "^")
+def tokens(value: Column) -> Column:
+    """Words of a masked sentence; ideographs and syllables stand alone."""
+    spaced = F.when(value.rlike(f"[{_UNSPACED}]"), F.btrim(F.regexp_replace(value, f" *([{_UNSPACED}]) *", " $1 "))).otherwise(value)
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
-def _wordings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c1, c2, w, on, n): counted wordings of parts of a batch, and how many of them go on."""
-    known: dict[str, str] = {}
-    seen: Counter = Counter()
-    ended: Counter = Counter()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, item, n): masked sentences of each batch, without the last ones of open texts."""
+    for batch in batches:
+        _, bare, is_open = bodies(batch.column(0))
+        found, text = sentences(bare)
+        last = np.append(text[1:] != text[:-1], True)[: len(text)]
+        found = found.filter(pa.array(~(last & is_open.to_numpy(zero_copy_only=False)[text]), pa.bool_()))
+        rows = pa.table({"value": masked(found), "item": pc.match_substring_regex(found, _BULLET)})
+        rows = rows.group_by(["value", "item"]).aggregate([([], "count_all")])
+        yield from rows.select(["value", "item", "count_all"]).rename_columns(["value", "item", "n"]).combine_chunks().to_batches()
 
-    def flush() -> pa.RecordBatch:
-        keys = list(seen)
-        columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        counts = [pa.array([seen[k] - ended[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())]
-        seen.clear()
-        ended.clear()
-        known.clear()
-        return pa.RecordBatch.from_arrays(columns + counts, ["c1", "c2", "w", "on", "n"])
 
+def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with an open end, the signs of the end, and its value."""
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            bare, _, is_open = ending(text)
-            words: list[str] = []
-            for sentence in sentences(bare):
-                words = tokens_of(sentence)
-                shapes = ["^", "^", words[0], *[known.get(w) or masked(w, known) for w in words[1:-1]]]
-                seen.update(zip(shapes, shapes[1:], words))
-                seen.update(zip(repeat("*"), ["^", *words], words))
-            if is_open and words:
-                for c in _contexts(words, len(words) - 1, known):
-                    ended[(*c, words[-1])] += 1
-            if len(seen) >= GRAMS_PER_STEP:
-                yield flush()
-    yield flush()
+        body, bare, is_open = bodies(batch.column(2))
+        body, bare = body.filter(is_open), bare.filter(is_open)
+        found, text = sentences(bare)
+        at = np.searchsorted(text, np.arange(len(bare)), "right") - 1
+        at = np.where((at >= 0) & (text[np.maximum(at, 0)] == np.arange(len(bare))), at, -1) if len(text) else np.full(len(bare), -1)
+        last = pc.fill_null(found.take(pa.array(at, mask=at < 0)), "")
+        finishing, bullet = pc.match_substring_regex(last, _FINISHED), pc.match_substring_regex(last, _BULLET)
+        finished = pc.and_(finishing, pc.equal(body, bare))
+        value = masked(last)
+        value = pc.if_else(pc.and_(bullet, finishing), pc.binary_join_element_wise("- ", value, ""), value)
+        whole = pc.or_(pc.equal(bare, ""), pc.match_substring_regex(bare, _CLOSED))
+        columns = [pc.utf8_length(batch.column(2).filter(is_open)), pc.if_else(finished, bare, None), finished, whole, pc.ends_with(body, "\ufffd"), pc.and_(bullet, pc.match_substring_regex(bare, r"\n[-*•] ")), value]
+        names = ["chars", "bare", "finished", "whole", "broken", "bullet", "value"]
+        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(is_open) for k in range(2)] + [c.cast(k) for c, k in zip(columns, kinds)], ["id", "source", *names])
 
 
-def _open_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with an open end: signs of the end, its context and its last, maybe partial word."""
-    kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
-    names = ["chars", "finished", "whole", "broken", "bullet", "c1", "c2", "near", "tail"]
+def _bare_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        rows: list[int] = []
-        for r, text in enumerate(batch.column(2).to_pylist()):
-            bare, marked, is_open = ending(text)
-            if not is_open:
-                continue
-            segment = next(reversed(sentences(bare)), "")
-            words = tokens_of(segment)
-            (c1, c2), (_, near) = _contexts(words, len(words) - 1, {}) if words else (("^", "^"), ("*", "^"))
-            whole = not bare or _CLOSED.search(bare, max(0, len(bare) - END_CHARS)) is not None
-            bullet = _BULLET.match(segment) is not None and _BULLETS.search(text) is not None
-            finished = not marked and _FINISHED.search(segment) is not None
-            rows.append(r)
-            out.append((len(text), finished, whole, text.rstrip().endswith("\ufffd"), bullet, c1, c2, near, words[-1] if words else ""))
-        columns = list(zip(*out)) if out else [[]] * len(kinds)
-        taken = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(2)]
-        yield pa.RecordBatch.from_arrays(taken + [pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "source", *names])
+        yield pa.RecordBatch.from_arrays([bodies(batch.column(0))[1]], ["value"])
+
+
+def has_longer(values: DataFrame, ends: DataFrame) -> DataFrame:
+    """(`value`): the values of `ends` that are strict prefixes of a value of `values`; both have one column, `value`.
+
+    All are sorted by ranges. The longer copies of an end follow it directly, so the next
+    of `values` decides; at the end of a range that is the first one of a later range, of
+    which there is one for each range.
+    """
+    both = values.select("value", F.lit(True).alias("whole")).distinct().unionByName(ends.select("value", F.lit(False).alias("whole")).distinct())
+    ranged = both.repartitionByRange("value").sortWithinPartitions("value", "whole")
+    ranged = cut_lineage(ranged.withColumn("part", F.spark_partition_id()))
+    firsts = sorted((r[0], r[1]) for r in ranged.where("whole").groupBy("part").agg(F.min("value")).collect())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[str] = []
+        part = None
+        for batch in batches:
+            found: list[str] = []
+            for value, whole, part in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                while waiting and not value.startswith(waiting[-1]):
+                    waiting.pop()
+                if whole:
+                    if waiting and waiting[-1] == value:
+                        waiting.pop()
+                        found += waiting
+                        waiting = [value]
+                    else:
+                        found += waiting
+                        waiting.clear()
+                else:
+                    waiting.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["value"])
+        after = next((v for p, v in firsts if part is not None and p > part), "")
+        yield pa.RecordBatch.from_arrays([pa.array([w for w in waiting if after.startswith(w) and after != w], pa.string())], ["value"])
+
+    return ranged.mapInArrow(search, "value string").distinct()
+
+
+def _longer_texts(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(`value`): whole texts of `ends` that are strict prefixes of longer texts, which are first sought by hashes of prefixes of fixed lengths."""
+    asked = ends.select("value").distinct()
+
+    def hashed(value: Column, sizes: Column) -> Column:
+        return F.transform(sizes, lambda n: F.xxhash64(n, F.substring(value, F.lit(1), n)))
+
+    sizes = F.filter(F.array(*map(F.lit, TEXT_PREFIXES)), lambda n: F.length("value") >= n)
+    keys = asked.select(F.explode(hashed(F.col("value"), F.slice(sizes, 1, 1))).alias("key")).distinct()
+    body = F.btrim("t")
+    all_sizes = F.filter(F.array(*map(F.lit, TEXT_PREFIXES)), lambda n: F.length(body) >= n)
+    near = texts.select("t", F.explode(hashed(body, all_sizes)).alias("key")).join(keys, "key", "left_semi").select("t").distinct()
+    return has_longer(near.mapInArrow(_bare_only, "value string"), asked)
+
+
+def _context(tokens: Column) -> list[Column]:
+    """The two tokens before the last one and the last, maybe partial, one."""
+    size = F.size(tokens)
+    at = lambda k: F.coalesce(F.get(tokens, size - k), F.lit("^"))
+    return [at(3).alias("c1"), at(2).alias("c2"), F.coalesce(F.get(tokens, size - 1), F.lit("")).alias("tail")]
+
+
+def _parts(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """(c1, c2, tail, longer_part, share): for asked contexts, if the tail is a strict prefix of a word there, and how often the context goes on."""
+    keys = asked.select("c1", "c2").distinct()
+    places = values.select("n", F.concat(F.array(F.lit("^"), F.lit("^")), tokens(F.col("value"))).alias("t"))
+    places = places.select("n", F.explode(F.transform(F.sequence(F.lit(2), F.size("t") - 1), lambda k: F.struct(F.get("t", k - 2).alias("c1"), F.get("t", k - 1).alias("c2"), F.get("t", k).alias("w")))).alias("g"))
+    seen = places.select("g.*", "n").join(keys, ["c1", "c2"], "left_semi").groupBy("c1", "c2", "w").agg(F.sum("n").alias("n"))
+    seen = cut_lineage(seen)
+    sizes = F.explode(F.sequence(F.lit(0), F.least(F.length("w") - 1, F.lit(PREFIX_CHARS))))
+    short = seen.select("c1", "c2", "w", sizes.alias("size")).withColumn("prefix", F.expr("substring(w, 1, size)"))
+    short = short.select("c1", "c2", "size", "prefix", F.when(F.col("size") == PREFIX_CHARS, F.col("w")).alias("w")).distinct()
+    tails = asked.select("c1", "c2", "tail", F.least(F.length("tail"), F.lit(PREFIX_CHARS)).alias("size"), F.expr(f"substring(tail, 1, {PREFIX_CHARS})").alias("prefix")).distinct()
+    copied = tails.join(short, ["c1", "c2", "size", "prefix"]).where("w is null or (startswith(w, tail) and w <> tail)").select("c1", "c2", "tail").distinct()
+    on = seen.groupBy("c1", "c2").agg(F.sum("n").alias("on"))
+    ended = asked.groupBy("c1", "c2").agg(F.sum("ends").alias("ended"))
+    share = on.join(ended, ["c1", "c2"]).select("c1", "c2", (F.col("on") / (F.col("on") + F.col("ended"))).alias("share"))
+    return asked.select("c1", "c2", "tail").distinct().join(copied.withColumn("longer_part", F.lit(True)), ["c1", "c2", "tail"], "left").join(share, ["c1", "c2"], "left")
+
+
+def _limits(ends: DataFrame) -> DataFrame:
+    """(`s`, `length`): lengths at which a source has far more open ends than at the lengths around."""
+    counted = ends.where("not finished and not whole").groupBy("source", "chars").agg(F.count(F.lit(1)).alias("here"))
+    near = Window.partitionBy("source").orderBy("chars").rangeBetween(-LIMIT_NEIGHBOURS, LIMIT_NEIGHBOURS)
+    expected = (F.sum("here").over(near) - F.col("here")) / (2 * LIMIT_NEIGHBOURS)
+    rated = counted.withColumn("expected", expected).withColumn("all_open", F.sum("here").over(Window.partitionBy("source")))
+    piled = (F.col("here") > F.col("expected") + LIMIT_DEVIATIONS * F.sqrt(F.col("expected") + 1)) & (F.col("here") >= LIMIT_SHARE_OF_OPEN * F.col("all_open"))
+    return rated.where(piled).select(F.col("source").alias("s"), F.col("chars").alias("length"), F.lit(True).alias("at_limit"))
 
 
 def cut_texts(rows: DataFrame, id_col: str, text: str, source: str | None = None) -> DataFrame:
-    """(`id`, `source`, `chars`, `cut`, `longer_copy`, `goes_on`, `at_limit`) for every text with an open end.
-
-    `longer_copy`: the open end is a strict prefix of a wording elsewhere; `goes_on`: its
-    context goes on in at least `GOES_ON_SHARE` of its places; `at_limit`: the length is
-    one at which the source has at least `LIMIT_LEAST_TEXTS` open ends that make up
-    `LIMIT_SHARE_OF_OPEN` of all its open ends. A context seen at most `RARE_CONTEXT`
-    times is replaced by its last word. `cut` is true if any of these holds, or
-    the text ends in a broken character, and the end is not a finishing one.
+    """(`id`, `source`, `chars`, `cut`, and the signs) for every text with an open end.
+
+    `cut` is true if the text ends in a broken character, is a strict prefix of a longer
+    text, or its end isn't a finishing one and has one of the signs of this module.
+    `at_limit`: the length is one at which the source has `LIMIT_DEVIATIONS` standard
+    deviations more open ends than at the lengths around it, and `LIMIT_SHARE_OF_OPEN` of
+    all its open ends.
     """
     texts = rows.where(F.length(F.trim(F.col(text))) > 0)
-    labelled = texts.select(F.col(id_col).alias("id"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"), F.col(text).alias("t"))
+    texts = texts.select(F.col(id_col).alias("id"), (F.col(source) if source else F.lit(None)).cast("string").alias("source"), F.col(text).alias("t"))
+    values = texts.select("t").mapInArrow(_counted, "value string, item boolean, n long")
+    values = cut_lineage(values.groupBy("value", "item").agg(F.sum("n").alias("n")))
     kind = rows.schema[id_col].dataType.simpleString()
-    signs = "chars long, finished boolean, whole boolean, broken boolean, bullet boolean, c1 string, c2 string, near string, tail string"
-    ends = cut_lineage(labelled.mapInArrow(_open_ends, f"id {kind}, source string, {signs}"))
-    ends = ends.select(
-        "id", "source", "chars", "finished", "whole", "broken", "bullet", "tail", F.struct("c1", "c2").alias("c"), F.struct(F.lit("*").alias("c1"), F.col("near").alias("c2")).alias("near")
-    )
-    grams = texts.select(F.col(text)).mapInArrow(_wordings, "c1 string, c2 string, w string, on long, n long")
-    grams = cut_lineage(grams.groupBy("c1", "c2", "w").agg(F.sum("on").alias("on"), F.sum("n").alias("n")))
-    asked = ends.select(F.explode(F.array("c", "near")).alias("c"), "tail").distinct()
-    asked = asked.select("c.c1", "c.c2", "tail", F.least(F.length("tail"), F.lit(PREFIX_CHARS)).alias("size"), F.expr(f"substring(tail, 1, {PREFIX_CHARS})").alias("prefix"))
-    short = grams.where("on > 0").select("c1", "c2", "w", F.explode(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(PREFIX_CHARS)))).alias("size"))
-    short = short.withColumn("prefix", F.expr("substring(w, 1, size)"))
-    short = short.select("c1", "c2", "size", "prefix", F.when(F.col("size") == PREFIX_CHARS, F.col("w")).alias("w")).distinct()
-    copied = (
-        asked.join(short, ["c1", "c2", "size", "prefix"])
-        .where(F.col("w").isNull() | F.expr("startswith(w, tail)"))
-        .select(F.struct("c1", "c2").alias("c"), "tail")
-        .distinct()
-    )
-    far_copy = copied.withColumn("far", F.lit(True))
-    near_copy = copied.select(F.col("c").alias("near"), "tail", F.lit(True).alias("close"))
-    share = grams.where("c1 <> '*'").groupBy(F.struct("c1", "c2").alias("c")).agg((F.sum("on") / F.sum("n")).alias("share"), F.sum("n").alias("seen"))
-    flagged = ends.join(far_copy, ["c", "tail"], "left").join(share, ["c"], "left").join(near_copy, ["near", "tail"], "left")
-    rare = F.coalesce(F.col("seen"), F.lit(0)) <= RARE_CONTEXT
-    flagged = flagged.withColumn("longer_copy", F.col("far").isNotNull() | (rare & F.col("close").isNotNull()))
-    limits = (
-        ends.where(~F.col("finished") & ~F.col("whole"))
-        .groupBy("source", "chars")
-        .agg(F.count(F.lit(1)).alias("here"))
-    )
-    totals = limits.groupBy("source").agg(F.sum("here").alias("all_open"))
-    limits = limits.join(totals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(
-        (F.col("here") >= LIMIT_LEAST_TEXTS) & (F.col("here") >= LIMIT_SHARE_OF_OPEN * F.col("all_open"))
-    ).select(F.col("source").alias("s"), F.col("chars").alias("length"), F.lit(True).alias("at_limit"))
-    flagged = flagged.join(limits, F.col("source").eqNullSafe(F.col("s")) & (F.col("chars") == F.col("length")), "left")
-    goes_on = F.coalesce(F.col("share") >= GOES_ON_SHARE, F.lit(False)) & ~F.col("bullet")
-    at_limit = F.coalesce(F.col("at_limit"), F.lit(False))
-    copy = F.col("longer_copy")
+    signs = "chars long, bare string, finished boolean, whole boolean, broken boolean, bullet boolean, value string"
+    ends = cut_lineage(texts.mapInArrow(_open_ends, f"id {kind}, source string, {signs}"))
+    distinct_ends = ends.where("not whole and value <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("ends"))
+    distinct_ends = distinct_ends.withColumn("named", F.when(F.size(F.split("value", " ")) >= NAMED_START_WORDS, named_start(F.col("value"))))
+    value = F.col("value")
+    longer = values.select(F.explode(F.array_compact(F.array(value, named_start(value), F.when(F.col("item"), listed(value))))).alias("value"))
+    asked = distinct_ends.select("value").unionByName(distinct_ends.where("named is not null").select(F.col("named").alias("value")))
+    copies = cut_lineage(has_longer(longer, asked))
+    copied = distinct_ends.join(copies.select("value", F.lit(True).alias("by_value")), "value", "left").join(copies.select(F.col("value").alias("named"), F.lit(True).alias("by_name")), "named", "left")
+    copied = cut_lineage(copied.select("value", "ends", (F.col("by_value").isNotNull() | F.col("by_name").isNotNull()).alias("longer_copy")))
+
+    open_ends = copied.where("not longer_copy").select("value", "ends", *_context(tokens(F.col("value"))))
+    parts = _parts(values, open_ends)
+    flags = open_ends.join(parts, ["c1", "c2", "tail"], "left").select("value", "longer_part", ((F.col("share") >= GOES_ON_SHARE) & (F.col("ends") == 1)).alias("goes_on"))
+    texts_asked = ends.where("finished").select(F.col("bare").alias("value"))
+    long_texts = _longer_texts(texts, texts_asked).select(F.col("value").alias("bare"), F.lit(True).alias("longer_text"))
+
+    flagged = ends.join(copied.drop("ends"), "value", "left").join(flags, "value", "left").join(long_texts, "bare", "left")
+    flagged = flagged.join(_limits(ends), F.col("source").eqNullSafe(F.col("s")) & (F.col("chars") == F.col("length")), "left")
+    sign = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("longer_copy", "longer_part", "goes_on", "at_limit", "longer_text")}
+    sign["goes_on"] = sign["goes_on"] & ~F.col("bullet")
+    copy = sign["longer_copy"] | sign["longer_part"]
     unfinished = ~F.col("whole") & (~F.col("finished") | (F.col("bullet") & copy))
-    return flagged.select(
-        "id",
-        "source",
-        "chars",
-        (F.col("broken") | (unfinished & (copy | goes_on | at_limit))).alias("cut"),
-        copy.alias("longer_copy"),
-        goes_on.alias("goes_on"),
-        at_limit.alias("at_limit"),
-    )
+    cut = F.col("broken") | sign["longer_text"] | (unfinished & (copy | sign["goes_on"] | sign["at_limit"]))
+    return flagged.select("id", "source", "chars", cut.alias("cut"), *[s.alias(c) for c, s in sign.items()])
 
 
 def cut_by_source(rows: DataFrame, id_col: str, text: str, source: str) -> DataFrame:

@@ -72,3 +72,33 @@ def test_limit_of_texts_without_source(spark):
     rows = [(k, " ".join(word() for _ in range(7))[:60], None if k % 2 else "feed") for k in range(40)]
     got = T.cut_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").where("at_limit and cut")
     assert sorted(r.id for r in got.collect()) == list(range(40))
+
+
+def test_longer_values_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 9)))
+    values, ends = [word() for _ in range(600)], [word() for _ in range(300)]
+    want = {e for e in ends if any(v.startswith(e) and v != e for v in values)}
+    frames = [spark.createDataFrame([(x,) for x in d], "value string").repartition(7) for d in (values, ends)]
+    assert {r.value for r in T.has_longer(*frames).collect()} == want
+    assert T.has_longer(frames[0].limit(0), frames[1]).count() == 0 == T.has_longer(frames[0], frames[1].limit(0)).count()
+
+
+def test_copies_decide_most_rows(spark, monkeypatch):
+    rows, cut = planted()
+    with_copies = {r.id for r in found(spark, rows).where("cut and longer_copy").collect()}
+    assert len(with_copies & cut) >= 0.8 * len(cut)
+    monkeypatch.setattr(T, "has_longer", lambda values, ends: ends.limit(0))
+    monkeypatch.setattr(T, "GOES_ON_SHARE", 2.0)
+    monkeypatch.setattr(T, "PREFIX_CHARS", 0)
+    assert len({r.id for r in found(spark, rows).where("cut").collect()} & cut) < len(with_copies)
+
+
+def test_whole_text_beats_a_finishing_end(spark):
+    rows = [(1, "See the pictures at https://x.example/galle", "s"), (2, "See the pictures at https://x.example/gallery of ours.", "s"), (3, "Look: https://y.example/a", "s"), (4, "Nice. Rating: 8/10", "s"), (5, "Other. Rating: 8/100", "s")]
+    assert {r.id for r in found(spark, rows).where("cut").collect()} == {1}
+
+
+def test_wording_that_several_texts_end_with_is_finished(spark):
+    rows = [(k, f"Text {'x' * 9 * k} is here for all of us. No words…", "s") for k in range(6)] + [(k, f"No entiendo las {k} cosas.", "s") for k in range(10, 20)]
+    assert found(spark, rows).where("cut").count() == 0
