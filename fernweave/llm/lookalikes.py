@@ -1,10 +1,12 @@
 """One form for texts that read the same but are stored with different characters.
 
-Texts are split at white space. Tokens of plain texts, counted over the whole corpus,
-are the vocabulary; tokens of texts with unusual characters are looked up in tries of
-that vocabulary by an automaton that follows look-alike letters and skips ignorable
-characters at no cost. A token without a match is normalised by table. Two texts look
-the same when their canonical forms have the same skeleton.
+Words of plain texts, counted over the whole corpus, are the vocabulary. Words of texts
+with unusual characters are looked up in tries of that vocabulary by an automaton that
+follows look-alike letters and skips ignorable characters at no cost; the word found is
+the canonical spelling. Vocabulary and unusual words meet in blocks of equal length and
+equal class of their outer letters, so the tries are spread over the cluster. A word
+without a match is normalised by table. Two texts look the same when their canonical
+forms are equal, words that are drawn alike in two scripts counting as Latin.
 
 A null text has no form and is left out; an empty one stays empty. Ties between
 spellings go to the one written in a single script, then to the more frequent, then to
@@ -29,28 +31,66 @@ from fernweave.session import cut_lineage
 # Letters of other scripts that are drawn like a Latin letter, each pair
 # as written in other script and Latin.
 LOOKALIKE_PAIRS = (
-    "аa еe оo рp сc уy хx іi ѕs јj һh ԁd ԛq ԝw "
-    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX "
+    "аa еe оo рp сc уy хx іi ѕs јj һh ԁd ԛq ԝw ӏl "
+    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ӀI "
     "οo νv ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX"
 )
-# Characters that draw nothing of their own.
-IGNORABLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufe0e\ufe0f\ufeff"
+# Format characters that draw a sign around what follows them, and a letter that doesn't look like its compatible form.
+VISIBLE_FORMATS = (*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD, *range(0x13430, 0x13440))
+UNLIKE_ITS_LETTER = (0x17F,)
+# Characters outside the format class that draw nothing: joiner of graphemes, Hangul fillers, variation selectors.
+UNDRAWN = (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
+FLAG = "\U0001f3f4"
+
+
+def _tables() -> tuple[set[int], dict[int, str]]:
+    """(ignorable code points, folded forms): forms of letters that differ in width, joining or ligature only."""
+    ignorable, folded = set(UNDRAWN), {0x2010: "-", 0x2011: "-"}
+    for c in (*range(0x80, 0x30000), *range(0xE0000, 0xE0200)):
+        ch = chr(c)
+        kind = unicodedata.category(ch)
+        if kind == "Cf" and c not in VISIBLE_FORMATS:
+            ignorable.add(c)
+        if kind in ("Cn", "Co", "Cs") or c in ignorable:
+            continue
+        tag = unicodedata.decomposition(ch).split(" ")[0]
+        shaped = tag in ("<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+        if shaped or (tag == "<compat>" and kind in ("Ll", "Lu", "Lt", "Nl") and c not in UNLIKE_ITS_LETTER):
+            folded[c] = unicodedata.normalize("NFKC", ch)
+    return ignorable - set(folded), folded | {0xFF9E: "\u3099", 0xFF9F: "\u309a"}
+
+
+def _class(codes) -> str:
+    """The inside of a character class of the given code points, as ranges."""
+    out, listed = [], sorted(codes)
+    start = 0
+    for k in range(1, len(listed) + 1):
+        if k == len(listed) or listed[k] != listed[k - 1] + 1:
+            out.append(f"{chr(listed[start])}-{chr(listed[k - 1])}")
+            start = k
+    return "".join(out)
+
 
 PROTOTYPE = {ord(p[0]): p[1] for p in LOOKALIKE_PAIRS.split()}
 _MEMBERS: dict[str, list[str]] = {}
 for _other, _latin in PROTOTYPE.items():
     _MEMBERS.setdefault(_latin, [_latin]).append(chr(_other))
-_WIDTH = {c: unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFFEF), 0x3000] if unicodedata.normalize("NFKC", chr(c)) != chr(c)}
-_WIDTH |= {0xFF9E: "\u3099", 0xFF9F: "\u309a"}
-_DROP = dict.fromkeys(map(ord, IGNORABLE))
+_IGNORED, _WIDTH = _tables()
+_DROP = dict.fromkeys(_IGNORED)
+IGNORABLE = _class(_IGNORED)
+# Full-width signs that plain texts of some scripts are written with.
+COMMON_WIDE = "！（），：？"
+_FOLDABLE = _class(_WIDTH)
 _SHAPED = re.compile("[\u0600-\u08ff\u0900-\u0dff]")
 _JOINED = re.compile(f"[{IGNORABLE}]+")
-_ODD = re.compile(f"[{IGNORABLE}\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\u0300-\u036f\u1100-\u11ff\u3099\u309a\uff02-\uff07\uff0a\uff0b\uff0d-\uff19\uff1b-\uff1e\uff20-\uffee]")
+_ODD = re.compile(f"[{IGNORABLE}{_class(c for c in _WIDTH if chr(c) not in COMMON_WIDE)}\u00a0\u1680\u2000-\u200a\u202f\u205f\u0300-\u036f\u1100-\u11ff\u3099\u309a]")
 _LATIN = re.compile("[A-Za-z]")
 _OTHER = re.compile("[\u0370-\u052f]")
 _BREAKS = re.compile(r"\s{2,}|[^\S \n]")
-_WIDE = re.compile("[\u3000\uff01-\uffee]")
+_WIDE = re.compile(f"[{_FOLDABLE}]")
 _WORD = re.compile("[^\\W\\d_]+", re.UNICODE)
+_ALIKE = _class(PROTOTYPE)
+_ALIKE_WORD = re.compile(f"(?<![^\\W\\d_])[{_ALIKE}]+(?![^\\W\\d_])", re.UNICODE)
 
 
 def is_odd(text: str) -> bool:
@@ -63,12 +103,14 @@ def is_odd(text: str) -> bool:
 
 
 def _ignorables_out(text: str) -> str:
-    """`text` without ignorables, but for joiners that shape an emoji or a cursive script."""
+    """`text` without ignorables, but for joiners that shape an emoji or a cursive script, and the tags of a flag."""
 
     def keep(m: re.Match) -> str:
+        if text[max(0, m.start() - 1) : m.start()] == FLAG:
+            return "".join(c for c in m[0] if "\U000e0020" <= c <= "\U000e007f")
         if "\u200d" not in m[0] and "\u200c" not in m[0]:
             return ""
-        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         if "\u200d" in m[0] and before and after and unicodedata.category(before) in ("So", "Sk") and unicodedata.category(after) == "So":
             return "\u200d"
         if before and after and _SHAPED.match(before) and _SHAPED.match(after):
@@ -94,6 +136,19 @@ def skeleton(canonical: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", canonical).translate(PROTOTYPE))
 
 
+def latin_alike(text: str) -> str:
+    """`text` with the words that could be read in two scripts as Latin ones."""
+    if text.isascii() or not _OTHER.search(text):
+        return text
+    return _ALIKE_WORD.sub(lambda m: m[0].translate(PROTOTYPE), text)
+
+
+def block_of(word: str) -> str:
+    """Length and outer letters of a word as it is drawn: equal for all spellings of a word that look alike."""
+    drawn = unicodedata.normalize("NFD", word.translate(_WIDTH)).translate(_DROP).translate(PROTOTYPE) if not word.isascii() else word
+    return f"{len(drawn)}{drawn[:2]}{drawn[-1:]}"
+
+
 def _script(ch: str) -> str:
     return "C" if "\u0400" <= ch <= "\u052f" else "G" if "\u0370" <= ch <= "\u03ff" else "L"
 
@@ -144,35 +199,6 @@ class VocabularyTrie:
         return min(ends)[3] if ends else None
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens of each batch: words of plain texts with counts, tokens of odd texts."""
-    for batch in batches:
-        plain: Counter = Counter()
-        odd: set[str] = set()
-        for text in batch.column(0).to_pylist():
-            if text is None:
-                continue
-            if is_odd(text):
-                odd.update(text.split())
-            else:
-                plain.update(text.split())
-        words: Counter = Counter()
-        for token, n in plain.items():
-            for w in _WORD.findall(token):
-                words[w] += n
-        rows = [(w, False, n) for w, n in words.items()]
-        rows += [(w, True, 0) for w in {w for t in odd for w, is_word in _pieces(t) if is_word and not w.isascii()}]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.string()),
-                pa.array([skeleton(by_table(r[0])) for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.bool_()),
-                pa.array([r[2] for r in rows], pa.int64()),
-            ],
-            ["token", "shape", "odd", "n"],
-        )
-
-
 _PIECE = re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f\u3099\u309a{IGNORABLE}])*", re.UNICODE)
 
 
@@ -204,17 +230,17 @@ def _runs(text: str) -> Iterator[tuple[str, bool]]:
 
 
 def _spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Canonical spelling of each odd token; rows come sorted by shape, whole shapes at a time."""
+    """Canonical spelling of each odd token; rows come sorted by block, whole blocks at a time."""
     held: list[tuple] = []
     found: list[tuple[str, str]] = []
 
     def settle(rows: list[tuple]) -> None:
-        odd = [t for t, _, o, _ in rows if o]
+        odd = [t for t, _, n in rows if n == 0]
         if not odd or len(odd) == len(rows):
             return
         trie = VocabularyTrie()
-        for token, _, is_odd_token, n in rows:
-            if not is_odd_token:
+        for token, _, n in rows:
+            if n:
                 trie.add(token, n)
         for token in odd:
             word = trie.match(token)
@@ -237,41 +263,63 @@ def _spellings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["token", "word"])
 
 
-def canonical_words(texts: DataFrame, text: str) -> DataFrame:
-    """(`token`, `word`): the vocabulary spelling of each token of an odd text that has one."""
-    counted = texts.select(F.col(text)).mapInArrow(_tokens, "token string, shape string, odd boolean, n long")
-    counted = counted.groupBy("token", "shape", "odd").agg(F.sum("n").alias("n"))
-    return counted.repartition("shape").sortWithinPartitions("shape", "odd").select("token", "shape", "odd", "n").mapInPandas(_spellings, "token string, word string")
+_SPLIT_KINDS = {"id": pa.int64(), "grp": pa.string(), "k": pa.int32(), "token": pa.string(), "form": pa.string(), "raw": pa.binary(), "key": pa.binary(), "n": pa.int64()}
+_SPLIT_SCHEMA = "id long, grp string, k int, token string, form string, raw binary, key binary, n long"
+VOCABULARY, PLAIN = -2, -1
 
 
 def _split_rows(keys: bool):
-    """Plain rows with their form, or with `keys` only the key of it; odd rows as pieces to be looked up."""
+    """One pass over texts: vocabulary words of the plain ones with counts (`k` is `VOCABULARY`); plain rows with
+    their form, or with `keys` only the key of it (`PLAIN`); odd rows as numbered pieces, those to be looked up as `token`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, groups, texts = (batch.column(i).to_pylist() for i in range(3))
             out: list[tuple] = []
+            tokens: Counter = Counter()
             for i, g, t in zip(ids, groups, texts):
                 if t is None:
                     continue
                 raw = _hash(t)
                 if is_odd(t):
-                    out += [(i, g, k, p if asked else None, asked, by_table_piece(p), raw, None) for k, (p, asked) in enumerate(_runs(by_white_space(t)))]
+                    out += [(i, g, k, p if asked else None, by_table_piece(p), raw, None, 0) for k, (p, asked) in enumerate(_runs(by_white_space(t)))]
                     continue
+                tokens.update(t.split())
                 form = by_table(t)
                 if keys:
-                    alike = skeleton(form)
-                    out.append((i, g, -1, None, False, None, raw, raw if alike == t else _hash(alike)))
+                    alike = latin_alike(form)
+                    out.append((i, g, PLAIN, None, None, raw, raw if alike == t else _hash(alike), 0))
                 else:
-                    out.append((i, g, -1, None, False, form, raw, None))
+                    out.append((i, g, PLAIN, None, form, raw, None, 0))
+            words: Counter = Counter()
+            for token, n in tokens.items():
+                for w in _WORD.findall(token):
+                    words[w] += n
+            out += [(None, None, VOCABULARY, w, None, None, None, n) for w, n in words.items()]
             cols = list(zip(*out)) if out else [[]] * len(_SPLIT_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SPLIT_KINDS.values())], list(_SPLIT_KINDS))
 
     return run
 
 
-_SPLIT_KINDS = {"id": pa.int64(), "grp": pa.string(), "k": pa.int32(), "token": pa.string(), "word_like": pa.bool_(), "form": pa.string(), "raw": pa.binary(), "key": pa.binary()}
-_SPLIT_SCHEMA = "id long, grp string, k int, token string, word_like boolean, form string, raw binary, key binary"
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        blocks = pa.array([block_of(t) for t in batch.column(0).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), blocks, batch.column(1)], ["token", "block", "n"])
+
+
+def _canonical_words(split: DataFrame) -> DataFrame:
+    """(`token`, `word`): the vocabulary spelling of each odd word that has one. Only blocks with an odd word go to the tries."""
+    counted = split.where("token is not null").groupBy("token", (F.col("k") == VOCABULARY).alias("known")).agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted.select("token", "n").mapInArrow(_blocked, "token string, block string, n long"))
+    asked = counted.where("n = 0").select("block").distinct()
+    inside = counted.join(asked, "block", "left_semi").repartition("block").sortWithinPartitions("block", "n")
+    return inside.select("token", "block", "n").mapInPandas(_spellings, "token string, word string")
+
+
+def canonical_words(texts: DataFrame, text: str) -> DataFrame:
+    """(`token`, `word`): the vocabulary spelling of each word of an odd text that has one."""
+    return _canonical_words(_split(texts.select(F.lit(0).alias("i"), F.lit("").alias("g"), F.col(text).alias("t")), "i", "g", "t", keys=True))
 
 
 def by_white_space(text: str) -> str:
@@ -279,8 +327,9 @@ def by_white_space(text: str) -> str:
 
 
 def by_table_piece(piece: str) -> str:
-    """A piece by table, its own outer blanks kept."""
-    return unicodedata.normalize("NFC", _ignorables_out(piece.translate(_WIDTH)))
+    """A piece by table, its own outer blanks kept; look-alikes in mixed words become Latin."""
+    text = unicodedata.normalize("NFC", _ignorables_out(piece.translate(_WIDTH)))
+    return skeleton(text) if _LATIN.search(text) and _OTHER.search(text) else text
 
 
 def _hash(text: str) -> bytes:
@@ -295,8 +344,8 @@ def _split(rows: DataFrame, id_col: str, group_col: str, text: str, keys: bool)
 def _odd_forms(split: DataFrame, words: DataFrame) -> DataFrame:
     """Canonical forms of odd rows: their pieces looked up and put together again, repeated rows once."""
     pieces = split.where("k >= 0")
-    asked = pieces.where("word_like").join(words, "token", "left").select("id", "grp", "raw", "k", F.coalesce("word", "form").alias("form"))
-    looked = asked.unionByName(pieces.where("not word_like").select("id", "grp", "raw", "k", "form"))
+    asked = pieces.where("token is not null").join(words, "token", "left").select("id", "grp", "raw", "k", F.coalesce("word", "form").alias("form"))
+    looked = asked.unionByName(pieces.where("token is null").select("id", "grp", "raw", "k", "form"))
     odd = looked.groupBy("id", "grp", "raw").agg(F.array_sort(F.collect_set(F.struct("k", "form"))).alias("p"))
     odd = odd.select("id", "grp", F.concat_ws("", F.transform("p", lambda x: x["form"])).alias("joined"), "raw")
     return odd.mapInArrow(_recompose, "id long, grp string, canonical string, raw binary")
@@ -305,8 +354,8 @@ def _odd_forms(split: DataFrame, words: DataFrame) -> DataFrame:
 def canonical_forms(rows: DataFrame, id_col: str, group_col: str, text: str) -> DataFrame:
     """(`id`, `grp`, `canonical`, `raw`): each text in its one form, `raw` being a hash of the stored text."""
     split = _split(rows, id_col, group_col, text, keys=False)
-    plain = split.where("k < 0").select("id", "grp", F.col("form").alias("canonical"), "raw")
-    return plain.unionByName(_odd_forms(split, canonical_words(rows, text)))
+    plain = split.where(F.col("k") == PLAIN).select("id", "grp", F.col("form").alias("canonical"), "raw")
+    return plain.unionByName(_odd_forms(split, _canonical_words(split)))
 
 
 def _recompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,25 +366,24 @@ def _recompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = pa.array([_hash(skeleton(t)) for t in batch.column(2).to_pylist()], pa.binary())
+        keys = pa.array([_hash(latin_alike(t)) for t in batch.column(2).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, batch.column(3)], ["id", "grp", "key", "raw"])
 
 
 def alike_pairs(rows: DataFrame, id_col: str, group_col: str, text: str) -> DataFrame:
-    """(`id_a`, `id_b`): rows of one group whose texts look the same but differ in characters.
+    """(`grp`, `id_a`, `id_b`): rows of one group whose texts look the same but differ in characters.
 
     Only keys with two spellings or more go on. A row first meets the other spellings of
     its key, then their rows, so texts that are stored alike are never paired, and what is
     made on the way is no larger than twice the result.
     """
-    grouped = rows.where(F.col(group_col).isNotNull())
-    split = _split(grouped, id_col, group_col, text, keys=True)
-    odd = cut_lineage(_odd_forms(split, canonical_words(grouped, text)).mapInArrow(_keyed, "id long, grp string, key binary, raw binary"))
-    keyed = split.where("k < 0").select("id", "grp", "key", "raw").unionByName(odd)
+    split = _split(rows.where(F.col(group_col).isNotNull()), id_col, group_col, text, keys=True)
+    odd = cut_lineage(_odd_forms(split, _canonical_words(split)).mapInArrow(_keyed, "id long, grp string, key binary, raw binary"))
+    keyed = split.where(F.col("k") == PLAIN).select("id", "grp", "key", "raw").unionByName(odd)
     key = ["grp", "key"]
     varied = keyed.groupBy(*key).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*key)
     inside = cut_lineage(keyed.join(varied, key, "left_semi").distinct())
     spellings = inside.select(*key, F.col("raw").alias("other")).distinct()
     left = inside.select(*key, F.col("id").alias("id_a"), "raw").join(spellings, key).where("raw <> other").drop("raw")
     right = inside.select(*key, F.col("id").alias("id_b"), F.col("raw").alias("other"))
-    return left.join(right, [*key, "other"]).where("id_a < id_b").select("id_a", "id_b")
+    return left.join(right, [*key, "other"]).where("id_a < id_b").select("grp", "id_a", "id_b")

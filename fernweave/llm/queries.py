@@ -9,18 +9,25 @@ from fernweave.llm import addresses, encoding, language, leakage, lookalikes, ma
 from fernweave.session import table
 
 
+def _spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews grouped by game and dishes grouped by restaurant; the group begins with the table's name."""
+    asked = (("game_reviews", "row_id", "appid", "review"), ("menu_items", "item_id", "restaurantId", "nameOriginal"))
+    reviews, dishes = (
+        table(spark, sf_dir, t).select(F.col(i).alias("id"), F.concat(F.lit(f"{t}|"), F.col(g).cast("string")).alias("grp"), F.lit(t).alias("source_table"), F.col(c).alias("text")) for t, i, g, c in asked
+    )
+    return reviews.unionByName(dishes)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of reviews of one game, and of dishes of one restaurant, that look the same but differ in characters."""
-    reviews = lookalikes.alike_pairs(table(spark, sf_dir, "game_reviews"), "row_id", "appid", "review")
-    dishes = lookalikes.alike_pairs(table(spark, sf_dir, "menu_items"), "item_id", "restaurantId", "nameOriginal")
-    return reviews.select(F.lit("game_reviews").alias("source_table"), "id_a", "id_b").unionByName(dishes.select(F.lit("menu_items").alias("source_table"), "id_a", "id_b"))
+    found = lookalikes.alike_pairs(_spelled(spark, sf_dir), "id", "grp", "text")
+    return found.select(F.substring_index("grp", "|", 1).alias("source_table"), "id_a", "id_b")
 
 
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every review and dish name in its one form."""
-    asked = (("game_reviews", "row_id", "appid", "review"), ("menu_items", "item_id", "restaurantId", "nameOriginal"))
-    reviews, dishes = (lookalikes.canonical_forms(table(spark, sf_dir, t), i, g, c).select(F.lit(t).alias("source_table"), "id", "canonical") for t, i, g, c in asked)
-    return reviews.unionByName(dishes)
+    found = lookalikes.canonical_forms(_spelled(spark, sf_dir), "id", "source_table", "text")
+    return found.select(F.col("grp").alias("source_table"), "id", "canonical")
 
 
 def _directory(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ SCHEMA = "id long, grp string, t string, key string, raw string"
 
 def found(spark, rows):
     frame = spark.createDataFrame([(i, g, t, "x", None) for i, g, t in rows], SCHEMA)
-    return {tuple(r) for r in L.alike_pairs(frame, "id", "grp", "t").collect()}
+    return {(r.id_a, r.id_b) for r in L.alike_pairs(frame, "id", "grp", "t").collect()}
 
 
 def test_forms_that_look_the_same_meet(spark):
@@ -69,3 +69,23 @@ def test_skeleton_equality_against_brute_force(spark):
         plain.append(text)
     want = {(a, b) for a in range(80) for b in range(a + 1, 80) if plain[a] == plain[b] and rows[a][2] != rows[b][2]}
     assert found(spark, rows) == want
+
+
+def test_rows_come_through_the_tries(spark, monkeypatch):
+    rows = [(1, "a", "графика держится"), (2, "a", "графикa держится"), (3, "a", "грaфика держитcя"), (4, "a", "Ελληνικά νερά"), (5, "a", "Ελληvικά νερά"), (6, "a", "сор"), (7, "a", "cop"), (8, "a", "соp")]
+    want = {(1, 2), (1, 3), (2, 3), (4, 5), (6, 7), (6, 8), (7, 8)}
+    assert found(spark, rows) == want
+    monkeypatch.setattr(L, "_canonical_words", lambda split: split.select("token", L.F.col("form").alias("word")).limit(0))
+    assert found(spark, rows) < want
+
+
+def test_characters_that_draw_nothing_or_the_same(spark):
+    plain = "first flow-chart IV"
+    same = [plain, "ﬁrst ﬂow-chart Ⅳ", "first\u202a flow\u2010chart IV\u202c", "\u2066first\u2069 flow\u2011chart\ufe00 IV", "fi\U000e0041rst flow-chart IV", "first fӏow-chart IV"]
+    rows = [(k, "a", t) for k, t in enumerate(same)] + [(20, "a", "\U0001f3f4 x"), (21, "a", "\U0001f3f4\U000e0067\U000e0062\U000e007f x"), (22, "a", "firſt flow-chart IV"), (23, "a", "first flow–chart IV")]
+    assert found(spark, rows) == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+
+
+def test_blocks_hold_all_spellings_of_a_word():
+    for word, other in (("графика", "гpафиka"), ("Honey", "Нοnеу"), ("crème", "cre\u0300me"), ("first", "ﬁrst"), ("ab", "a\u200bb")):
+        assert L.block_of(word) == L.block_of(other)
