@@ -2,11 +2,14 @@
 
 An address is folded (case, accents, widths, separators), freed of unit and country
 notes and expanded into its plausible readings: house number, street name and kind of
-street, and every wording that may be the town. Hashes of component combinations
-(number, street, and town or postal code) are exploded and joined; pairs with a shared
-hash are kept unless kind of street, town or postal code conflict. The house number is
-part of every hash. A street name may be meant for each more frequent name of the data
-that is one typing error away, so a misspelt address also has the hashes of those names.
+street, and every wording that may be the town. Of several long numbers each may be the
+house number or the postal code. Hashes of component combinations (number without its
+suffix, street, and town or postal code) are exploded and joined; pairs with a shared
+hash are kept unless house number, kind of street, town or postal code conflict. House
+numbers conflict if they differ in digits or suffix; a range has the hashes of the
+numbers of its side of the street and agrees with each of them. A street name may be
+meant for each more frequent name of the data that is one typing error away, so a
+misspelt address also has the hashes of those names.
 
 Rows that say the same are first brought together to forms, and only forms are joined, so
 a mall with a third of all listings is one form until its pairs are written out. Null,
@@ -61,7 +64,9 @@ _WARD = re.compile(r"\b(?:phuong|quan|ward|district)\s*\d+\b|(?:\bp\b|\bq\b)\.?\
 _CITY_WORD = re.compile(r"\b(?:tp|thanh pho|city of)\b\.?\s*")
 _GB_CODE = re.compile(r"\b(?:gb[- ]?)?([a-z]{1,2}\d[a-z\d]?)\s?(\d[a-z]{2})\b")
 _DIGIT_CODE = re.compile(r"\b(?:(?:us|de|vn|d)[- ])?(\d{5,6})(?:-\d{4})?\b")
-_NUMBER = re.compile(r"(?<![\w/])(?:(?:no|nr|number|so|hausnummer)\b\.?\s*|#\s*)?(\d{1,4}(?:/\d+)*(?:\s?-\s?\d{1,4})?(?:[a-z]|\s[a-z](?=\s*(?:,|$)))?)(?![\w/])")
+_NUMBER = re.compile(r"(?<![\w/])(?:(?:no|nr|number|so|hausnummer)\b\.?\s*|#\s*)?(\d+(?:/\d+)*(?:\s?-\s?\d+)?(?:[a-z]|\s[a-z](?=\s*(?:,|$)))?)(?![\w/])")
+_RANGE = re.compile(r"(\d+)-(\d+)$")
+RANGE_SPAN = 40
 _STATE = re.compile(r"(?:^|,)\s*[a-z]{2}\s*(?=,|$)|\b[a-z]{2}\s*(?=#code#)")
 _SEPARATORS = re.compile(r"[\n\r;|]+|\s[-–—]\s")
 _SPACES = re.compile(r"\s+")
@@ -98,27 +103,41 @@ def _street(words: list[str]) -> tuple[str, str, list[str]]:
     return "", "", words
 
 
-def read_address(address: str | None, city: str | None, code: str | None) -> tuple[str, str, str, tuple[str, ...], bool, str] | None:
-    """(number, street, kind, towns, town known, postal code) of an address, or None if it can't be read."""
+def house_numbers(number: str) -> list[str]:
+    """The numbers without suffix by which a house number is found: of a range those of its side of the street."""
+    m = _RANGE.match(number)
+    if not m:
+        return [re.match(r"\d+", number)[0]]
+    low, high = int(m[1]), int(m[2])
+    if not low < high <= low + RANGE_SPAN:
+        return sorted({m[1], m[2]})
+    return [str(k) for k in range(low, high + 1, 2)] + ([m[2]] if (high - low) % 2 else [])
+
+
+def read_address(address: str | None, city: str | None, code: str | None) -> list[tuple[str, str, str, tuple[str, ...], bool, str]]:
+    """All plausible readings (number, street, kind, towns, town known, postal code) of an address; none if it can't be read."""
     if not address:
-        return None
+        return []
     text = _SEPARATORS.sub(",", folded(address))
     text = _SPACES.sub(" ", text).strip(" ,.-")
     if not re.search(r"[a-z]", text):
-        return None
+        return []
     text = _UNIT.sub(" ", text)
     text = _COUNTRY.sub("", text.strip(" ,"))
     found = postal_code(code)
     m = _GB_CODE.search(text)
     if m:
-        found = found or m[1] + m[2]
-        text = text[: m.start()] + " , " + text[m.end() :]
-    else:
-        digits = [d for d in _DIGIT_CODE.finditer(text)]
-        if digits:
-            d = digits[-1]
-            found = found or d[1]
-            text = text[: d.start()] + "#code#," + text[d.end() :]
+        return _readings_of(text[: m.start()] + " , " + text[m.end() :], city, found or m[1] + m[2])
+    digits = list(_DIGIT_CODE.finditer(text))
+    readings = []
+    for d in reversed(digits):
+        if len(digits) == 1 or not found or d[1] == found or not any(x[1] == found for x in digits):
+            readings += _readings_of(text[: d.start()] + "#code#," + text[d.end() :], city, found or d[1])
+    return readings or _readings_of(text, city, found)
+
+
+def _readings_of(text: str, city: str | None, found: str) -> list[tuple[str, str, str, tuple[str, ...], bool, str]]:
+    """The reading of an address whose postal code has been taken out, or none."""
     text = _STATE.sub(" ", text).replace("#code#", " ,")
     text = _WARD.sub(" , ", text)
     text = _CITY_WORD.sub(" ", text)
@@ -131,7 +150,7 @@ def read_address(address: str | None, city: str | None, code: str | None) -> tup
         number = re.sub(r"\s", "", m[1])
         text = text[: m.start()] + (" , " if "," in text[: m.start()].strip(" ,") or not text[: m.start()].strip(" ,") else " ") + "\x00" + text[m.end() :]
     if not number:
-        return None
+        return []
     parts = [p for p in ([w for w in _WORDS.findall(p)] for p in re.split(r"[,\x00]", text)) if p]
     name, kind, rest = "", "", []
     for i, p in enumerate(parts):
@@ -145,15 +164,15 @@ def read_address(address: str | None, city: str | None, code: str | None) -> tup
         before = [p for p in re.split(",", text[:at])]
         near = _WORDS.findall(behind[0]) or _WORDS.findall(before[-1]) or next((w for w in parts), [])
         if not near:
-            return None
+            return []
         name, kind = near[0], ""
         rest = [near[1:]] if len(near) > 1 else []
         rest += [p for p in parts if p is not near and p != near]
     name = name.replace("-", "").replace("'", "").replace(" ", "")
     if len(name) < 2:
-        return None
+        return []
     towns = [town] if town else sorted({" ".join(p[k:]) for p in rest for k in range(max(0, len(p) - 3), len(p)) if len(" ".join(p[k:])) > 2})
-    return number, name, kind, tuple(towns), bool(town), found
+    return [(number, name, kind, tuple(towns), bool(town), found)] if towns or found else []
 
 
 def near_names(a: str, b: str) -> bool:
@@ -173,14 +192,11 @@ def near_names(a: str, b: str) -> bool:
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, streets, cities, codes = (batch.column(i).to_pylist() for i in range(4))
-        out = []
-        for i, a, c, p in zip(ids, streets, cities, codes):
-            r = read_address(a, c, p)
-            if r is not None and (r[3] or r[5]):
-                out.append((i, *r[:3], list(r[3]), *r[4:]))
-        cols = list(zip(*out)) if out else [[]] * 7
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string())
-        names = ["id", "number", "street", "kind", "towns", "town_known", "code"]
+        out = [(i, n, house_numbers(n), s, k, list(t), *r) for i, a, c, p in zip(ids, streets, cities, codes) for n, s, k, t, *r in read_address(a, c, p)]
+        cols = list(zip(*out)) if out else [[]] * 8
+        text = pa.list_(pa.string())
+        kinds = (pa.int64(), pa.string(), text, pa.string(), pa.string(), text, pa.bool_(), pa.string())
+        names = ["id", "number", "bases", "street", "kind", "towns", "town_known", "code"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
 
@@ -201,32 +217,41 @@ def street_spellings(streets: DataFrame) -> DataFrame:
 
 
 def address_forms(rows: DataFrame, id_col: str, address: Column, city: Column, code: Column) -> DataFrame:
-    """(`id`, `form`, number, street, kind, towns, town_known, code): rows that say the same share the form."""
+    """(`id`, `form`, number, bases, street, kind, towns, town_known, code): a row per reading; readings that say the same share the form."""
     read = rows.select(F.col(id_col).cast("long").alias("id"), address.alias("a"), city.alias("c"), code.alias("p")).where(F.length("a") > 1)
-    read = read.mapInArrow(_readings, "id long, number string, street string, kind string, towns array<string>, town_known boolean, code string")
-    return read.withColumn("form", F.xxhash64("number", "street", "kind", "towns", "town_known", "code"))
+    read = read.mapInArrow(_readings, "id long, number string, bases array<string>, street string, kind string, towns array<string>, town_known boolean, code string")
+    said = F.concat_ws("\x1f", "number", "street", "kind", F.concat_ws("\x1e", "towns"), F.col("town_known").cast("string"), "code")
+    return read.withColumn("form", F.unhex(F.md5(said)))
 
 
 def same_address(rows: DataFrame, id_col: str, address: Column, city: Column, code: Column) -> DataFrame:
     """(`id_a`, `id_b`): all pairs of rows, smaller id first, that denote the same postal address."""
     read = cut_lineage(address_forms(rows, id_col, address, city, code))
-    parts = ["number", "street", "kind", "towns", "town_known", "code"]
+    parts = ["number", "bases", "street", "kind", "towns", "town_known", "code"]
     forms = read.select("form", *parts).distinct()
     meant = street_spellings(read.select("street"))
     own = forms.withColumn("name", F.col("street"))
     other = forms.join(meant, "street").withColumn("name", F.col("meant")).select(*own.columns)
     code_place = F.when(F.col("code") != "", F.array(F.concat(F.lit("p"), "code"))).otherwise(F.array().cast("array<string>"))
     places = F.concat(F.transform("towns", lambda t: F.concat(F.lit("t"), t)), code_place)
-    hashed = own.unionByName(other).withColumn("place", F.explode(places))
-    hashed = hashed.select(F.xxhash64("number", "name", "place").alias("hash"), "form", "kind", "towns", "town_known", "code")
+    hashed = own.unionByName(other).withColumn("place", F.explode(places)).withColumn("base", F.explode("bases"))
+    hashed = hashed.select(F.xxhash64("base", "name", "place").alias("hash"), "form", "number", "bases", "name", "kind", "towns", "town_known", "code")
     left, right = (hashed.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in hashed.columns[1:]]) for s in "ab")
+    ranged = F.col("number_a").rlike(_RANGE.pattern) | F.col("number_b").rlike(_RANGE.pattern)
+    single = (F.size("bases_a") == 1) & (F.size("bases_b") == 1)
+    bare = F.col("number_a").rlike("^[0-9-]+$") & F.col("number_b").rlike("^[0-9-]+$")
+    same_number = (F.col("number_a") == F.col("number_b")) | (ranged & ~single & bare & F.arrays_overlap("bases_a", "bases_b"))
     agree = (
-        ((F.col("kind_a") == F.col("kind_b")) | (F.col("kind_a") == "") | (F.col("kind_b") == ""))
+        same_number
+        & (F.col("name_a") == F.col("name_b"))
+        & ((F.col("kind_a") == F.col("kind_b")) | (F.col("kind_a") == "") | (F.col("kind_b") == ""))
         & (F.arrays_overlap("towns_a", "towns_b") | ~(F.col("town_known_a") & F.col("town_known_b")))
         & ((F.col("code_a") == F.col("code_b")) | (F.col("code_a") == "") | (F.col("code_b") == ""))
     )
     alike = left.join(right, "hash").where((F.col("form_a") < F.col("form_b")) & agree).select("form_a", "form_b").distinct()
     both = alike.unionByName(alike.select(F.col("form_b").alias("form_a"), F.col("form_a").alias("form_b")))
     both = both.unionByName(read.groupBy("form").count().where("count > 1").select(F.col("form").alias("form_a"), F.col("form").alias("form_b")))
+    several = read.groupBy("id").agg(F.count_distinct("form").alias("n")).agg(F.max("n")).first()[0] or 0
     a, b = (read.select(F.col("id").alias(f"id_{s}"), F.col("form").alias(f"form_{s}")) for s in "ab")
-    return a.join(both, "form_a").join(b, "form_b").where("id_a < id_b").select("id_a", "id_b")
+    pairs = a.join(both, "form_a").join(b, "form_b").where("id_a < id_b").select("id_a", "id_b")
+    return pairs.distinct() if several > 1 else pairs

@@ -63,3 +63,28 @@ def test_two_misspellings_meet_by_the_right_name(spark):
 def test_near_names():
     assert A.near_names("kerebasi", "kerbeasi") and A.near_names("kerebasi", "kerebsi") and A.near_names("kerebasi", "kerebbasi") and A.near_names("kerebasi", "kerebaso")
     assert not A.near_names("kerebasi", "kerbeais") and not A.near_names("abcd", "abce")
+
+
+def test_long_numbers_and_ranges(spark):
+    rows = [
+        (1, "10500 Main Street, Springfield, IL 62704", "Springfield", "62704"),
+        (2, "10500 Main St., Springfield", None, None),
+        (3, "62704 Springfield, Main Street 10500", "Springfield", None),
+        (4, "10501 Main Street, Springfield, IL 62704", "Springfield", "62704"),
+        (5, "12-14 Bobapabe Road, Velburg", "Velburg", None),
+        (6, "12 Bobapabe Road, Velburg", "Velburg", None),
+        (7, "14 Bobapabe Rd, Velburg", "Velburg", None),
+        (8, "13 Bobapabe Rd, Velburg", "Velburg", None),
+        (9, "14a Bobapabe Rd, Velburg", "Velburg", None),
+    ]
+    assert found(spark, rows) == {(1, 2), (1, 3), (2, 3), (5, 6), (5, 7)}
+
+
+def test_house_numbers():
+    assert A.house_numbers("12-16") == ["12", "14", "16"] and A.house_numbers("39/2") == ["39"] == A.house_numbers("39b") and A.house_numbers("7-900") == ["7", "900"]
+
+
+def test_conflicting_house_numbers_share_a_hash(spark):
+    rows = [(1, "39/2 Kerebasi Road, Velburg", "Velburg", None), (2, "39 Kerebasi Road, Velburg", "Velburg", None), (3, "39b Kerebasi Road, Velburg", "Velburg", None)]
+    forms = A.address_forms(spark.createDataFrame([(*r, "x", None) for r in rows], SCHEMA), "id", F.col("a"), F.col("c"), F.col("p")).collect()
+    assert {tuple(r.bases) for r in forms} == {("39",)} and found(spark, rows) == set()
