@@ -9,8 +9,9 @@ and softmax are folded into one table of a fixed size, which is broadcast.
 
 A text is cut at sentence ends, line breaks and separators; each segment gets a
 language. A text is mixed if a second language has a confident segment of several words.
-Null texts and texts without words of a language (scores, emoji, chat shorthand) have no
-language. Repeated rows are judged each for itself; very long texts are read whole.
+Null texts, texts without words of a language (scores, emoji, chat shorthand) and texts
+below the threshold have no language: their row has a null language and the confidence
+of the likeliest one. Repeated rows are judged each for itself; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SAMPLE_PER_LANGUAGE = 800
 BUCKETS = 1 << 16
 DIMENSIONS = 12
 EPOCHS = 8
-LEAST_STEPS = 150
+LEAST_STEPS = 600
 RATE = 4.0
 HELD_OUT = 5
 LEAST_LETTERS = 6
@@ -226,8 +227,8 @@ def _scored(segments: list[str], model: dict) -> tuple[np.ndarray, np.ndarray, n
     return _softmax((raw / np.maximum(3 * size, 1)[:, None] + model["bias"]) / model["temperature"]), letters, words
 
 
-def judge(texts: list[str | None], model: dict) -> list[list[tuple[int, int, str, float]]]:
-    """For each text its (begin, end, language, confidence): one entry, one for each segment group of a mixed text, or none."""
+def judge(texts: list[str | None], model: dict) -> list[list[tuple[int, int, str | None, float]]]:
+    """For each text its (begin, end, language, confidence): one entry, or one for each segment group of a mixed text; the language is None if it is rejected."""
     parts: list[tuple[int, int, str]] = []
     owners: list[int] = []
     for i, t in enumerate(texts):
@@ -235,9 +236,9 @@ def judge(texts: list[str | None], model: dict) -> list[list[tuple[int, int, str
             p = segments_of(repaired(t))
             parts += p
             owners += [i] * len(p)
-    result: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    result: list[list[tuple[int, int, str | None, float]]] = [[] for _ in texts]
     if not parts:
-        return result
+        return [[(0, len(t or ""), None, 0.0)] for t in texts]
     p, letters, words = (np.concatenate(x) for x in zip(*(_scored([q[2] for q in parts[a:b]], model) for a, b in _steps([q[2] for q in parts]))))
     enough = (letters >= LEAST_LETTERS) | (letters <= -LEAST_LETTERS_UNSPACED)
     sure, best = p.max(axis=1), p.argmax(axis=1)
@@ -258,8 +259,7 @@ def judge(texts: list[str | None], model: dict) -> list[list[tuple[int, int, str
     for s, e, n, single, lang, conf in zip(starts.tolist(), ends.tolist(), kinds.tolist(), one.tolist(), top.tolist(), level.tolist()):
         i = owners[s]
         if n < 2:
-            if single:
-                result[i].append((parts[s][0], parts[e - 1][1], LANGUAGES[lang], conf))
+            result[i].append((parts[s][0], parts[e - 1][1], LANGUAGES[lang] if single else None, conf))
             continue
         runs: list[list] = []
         for j in range(s, e):
@@ -272,7 +272,7 @@ def judge(texts: list[str | None], model: dict) -> list[list[tuple[int, int, str
                 runs[-1][3].append((float(sure[j]), int(weight[j])))
         for b, f, lang, c in runs:
             result[i].append((b, f, LANGUAGES[lang], sum(x * w for x, w in c) / sum(w for _, w in c)))
-    return result
+    return [found or [(0, len(t or ""), None, 0.0)] for t, found in zip(texts, result)]
 
 
 def fit(rows: DataFrame, id_col: str, label: str, text: str) -> dict:
@@ -298,7 +298,8 @@ def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def languages(rows: DataFrame, id_col: str, label: str, text: str) -> DataFrame:
     """(`id`, `label_lang`, `segment`, `begin`, `end`, `lang`, `confidence`, `mixed`): a row per text, or per segment of a mixed one.
 
-    `begin` and `end` are places in the text in its regular form.
+    `lang` is null where no language is sure, also for null and empty texts. `begin` and
+    `end` are places in the text in its regular form.
     """
     shared = rows.sparkSession.sparkContext.broadcast(fit(rows, id_col, label, text))
 
@@ -316,12 +317,12 @@ def languages(rows: DataFrame, id_col: str, label: str, text: str) -> DataFrame:
                 names = ["id", "label_lang", "segment", "begin", "end", "lang", "confidence", "mixed"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    asked = rows.select(F.col(id_col).cast("long").alias("id"), label_code(F.col(label)).alias("label_lang"), F.col(text).alias("t")).where(F.length("t") > 0)
+    asked = rows.select(F.col(id_col).cast("long").alias("id"), label_code(F.col(label)).alias("label_lang"), F.col(text).alias("t"))
     return asked.mapInArrow(run, "id long, label_lang string, segment int, begin int, end int, lang string, confidence double, mixed boolean")
 
 
 def mislabelled(rows: DataFrame, id_col: str, label: str, text: str) -> DataFrame:
     """(`id`, `lang`): each language of the texts whose label is missing or names another one, or that are mixed."""
-    found = languages(rows, id_col, label, text)
+    found = languages(rows, id_col, label, text).where(F.col("lang").isNotNull())
     asked = F.col("mixed") | F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang"))
     return found.where(asked).select("id", "lang").distinct()

@@ -91,3 +91,10 @@ def test_empty_table_and_long_text(spark):
     rows.append((5000, None, "das Spiel läuft und meine Freunde haben viele Stunden. " * 20_000, None, None))
     got = {(r.id, r.lang) for r in L.mislabelled(spark.createDataFrame(rows, SCHEMA), "id", "label", "t").collect()}
     assert (5000, "de") in got
+
+
+def test_rejected_texts_keep_a_row(spark):
+    rows, _ = corpus()
+    rows += [(9000 + k, "german", t, None, None) for k, t in enumerate([None, "", "gg", "10/10", "👍👍", " \n"])]
+    got = {r.id: (r.lang, r.confidence) for r in L.languages(spark.createDataFrame(rows, SCHEMA), "id", "label", "t").where("segment = 0").collect()}
+    assert len(got) == len(rows) and all(got[k][0] is None and 0 <= got[k][1] <= 1 for k in range(9000, 9006))
