@@ -3,17 +3,20 @@
 Items are cut into windows of `STRETCH_WORDS` words, documents into overlapping windows
 that hold any such stretch; windows are put into partitions by their number of
 shingles, and each partition takes as many MinHash functions as its containment
-threshold needs. A document window that shares a minimum with an item window makes the
-item a candidate; the candidate is kept if a stretch of the document follows the item
-word by word, a few changed words apart.
+threshold needs. Minima of items and documents are tables; a document window that shares
+a minimum with an item window makes the item a candidate, found by one join however many
+items there are. The candidate is kept if a stretch of the document follows the item word
+by word, a few changed words apart.
 
 Shingles have three words: of a stretch of fifteen words two changed ones may leave no
 shingle of five words whole, and such stretches must be found.
 
-Items are broadcast in blocks of at most `ITEMS_PER_BLOCK`, the corpus being read once
-for each block. Items of fewer than `LEAST_WORDS` words say too little and are ignored;
-an item shorter than a stretch must be contained wholly. Null and empty texts contain
-nothing. Repeated rows are reported once per id and item.
+Items shorter than a stretch must be contained wholly; they are sought by each of their
+shingles, and items of one or two words by the word or pair of words itself. Up to
+`BROADCAST_KEYS` minima of items are also sent to the readers of documents, which then
+write only minima that occur; beyond it all minima of documents are joined. Null and
+empty texts, and items without a word, contain nothing. Repeated rows are reported once
+per id and item.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernweave.session import cut_lineage
+
 SHINGLE_WORDS = 3
 STRETCH_WORDS = 15
 WINDOW_SHINGLES = 22
@@ -37,9 +42,9 @@ WINDOW_STEP = 8
 SIZE_LIMITS = (8, 15, WINDOW_SHINGLES)
 CHANGED_WORDS = 2
 RECALL = 0.999
-ITEMS_PER_BLOCK = 5_000
+BROADCAST_KEYS = 4_000_000
+BROADCAST_CANDIDATES = 200_000
 CHARS_PER_STEP = 4_000_000
-LEAST_WORDS = 5
 CHANGE_COST = 1.5
 MATCHED_SHARE = 0.7
 
@@ -109,42 +114,68 @@ def _minima(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) ->
     return np.minimum.reduceat(mixed >> np.uint64(8), np.stack([begin, end], 1).ravel())[::2]
 
 
-class ItemIndex:
-    """MinHash minima of the windows of test items, and the items' words for the check."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        listed = [(i, words_of(t)) for i, t in items if t is not None]
-        listed = [(i, w) for i, w in listed if len(w) >= LEAST_WORDS]
-        self.ids = [i for i, _ in listed]
-        codes, lengths = _codes([w for _, w in listed])
-        starts = np.cumsum(lengths) - lengths
-        self.words = [codes[s : s + n] for s, n in zip(starts, lengths)]
-        text, begin, end = _windows(lengths, STRETCH_WORDS - SHINGLE_WORDS + 1, 1)
-        shingles = _shingles(codes)
-        self.minima: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(max(FUNCTIONS)):
-            pairs = np.unique(np.stack([_minima(shingles, begin, end, k), text.astype(np.uint64)], 1), axis=0) if len(text) else np.zeros((0, 2), np.uint64)
-            self.minima.append((pairs[:, 0], pairs[:, 1].astype(np.int64)))
-
-    def candidates(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Distinct (text, item) places whose windows share a minimum."""
-        text, begin, end = _windows(lengths, WINDOW_SHINGLES, WINDOW_STEP)
+def _grams(codes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every run of `n` words inside a text."""
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.arange(len(codes)) - first + n <= lengths[text]
+    keys = codes.copy()
+    for k in range(1, n):
+        keys[:-k] = (keys[:-k] * np.uint64(0x9E3779B97F4A7C15)) ^ codes[k:]
+    return text[inside], (keys[inside] ^ np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _own_shingles(shingles: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of every shingle that lies inside a text."""
+    text, begin, _ = _windows(lengths, 1, 1)
+    return text, shingles[begin]
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, key) of all parts, by text."""
+    text = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int64)
+    key = np.concatenate([k for _, k in found]).astype(np.uint64) if found else np.zeros(0, np.uint64)
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(text)]
+    return text[new], key[new].view(np.int64)
+
+
+def item_keys(word_lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(item, key): minima of the windows of long items, shingles of short ones, the words of those without a shingle."""
+    found = []
+    sizes = np.array([len(w) for w in word_lists], np.int64)
+    for least, most in ((STRETCH_WORDS, None), (SHINGLE_WORDS, STRETCH_WORDS), *((n, n + 1) for n in range(1, SHINGLE_WORDS))):
+        mine = np.flatnonzero((sizes >= least) & (sizes < (most or sizes.max(initial=0) + 1)))
+        if not len(mine):
+            continue
+        codes, lengths = _codes([word_lists[i] for i in mine])
         shingles = _shingles(codes)
-        found = [np.zeros((0, 2), np.int64)]
-        part = np.searchsorted(SIZE_LIMITS, end - begin)
-        for p, functions in enumerate(FUNCTIONS):
-            mine = np.flatnonzero(part == p)
-            if not len(mine):
-                continue
-            for k in range(functions):
-                values, owners = self.minima[k]
-                low = _minima(shingles, begin[mine], end[mine], k)
-                first, last = np.searchsorted(values, low, "left"), np.searchsorted(values, low, "right")
-                hit = np.flatnonzero(last > first)
-                n = last[hit] - first[hit]
-                place = np.repeat(first[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.stack([np.repeat(text[mine[hit]], n), owners[place]], 1))
-        return np.unique(np.concatenate(found), axis=0)
+        if least == STRETCH_WORDS:
+            text, begin, end = _windows(lengths, STRETCH_WORDS - SHINGLE_WORDS + 1, 1)
+            parts = [(text, _minima(shingles, begin, end, k)) for k in range(max(FUNCTIONS))]
+        elif least == SHINGLE_WORDS:
+            parts = [_own_shingles(shingles, lengths)]
+        else:
+            parts = [_grams(codes, lengths, least)]
+        found += [(mine[t], k) for t, k in parts]
+    return _distinct(found)
+
+
+def document_keys(codes: np.ndarray, lengths: np.ndarray, short: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key): minima of the windows of documents, and what items of the `short` lengths are sought by."""
+    found = []
+    text, begin, end = _windows(lengths, WINDOW_SHINGLES, WINDOW_STEP)
+    shingles = _shingles(codes)
+    part = np.searchsorted(SIZE_LIMITS, end - begin)
+    for p, functions in enumerate(FUNCTIONS):
+        mine = np.flatnonzero(part == p)
+        if len(mine):
+            found += [(text[mine], _minima(shingles, begin[mine], end[mine], k)) for k in range(functions)]
+    if SHINGLE_WORDS in short:
+        found.append(_own_shingles(shingles, lengths))
+    found += [_grams(codes, lengths, n) for n in range(1, SHINGLE_WORDS) if n in short]
+    return _distinct(found)
 
 
 def _segments(document: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -184,44 +215,79 @@ def longest_stretch(document: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
-def _steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches in parts of at most `CHARS_PER_STEP` characters or one text."""
+def contains(document: np.ndarray, item: np.ndarray) -> int:
+    """Words of the stretch by which `document` contains `item`, or 0."""
+    if len(item) < SHINGLE_WORDS:
+        runs = np.lib.stride_tricks.sliding_window_view(document, len(item)) if len(document) >= len(item) > 0 else np.zeros((0, 1))
+        return len(item) if len(runs) and (runs == item).all(axis=1).any() else 0
+    words = longest_stretch(document, item)
+    return words if words >= min(STRETCH_WORDS, len(item)) else 0
+
+
+def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of parts of at most `CHARS_PER_STEP` characters or one text."""
+    ends = np.cumsum([len(t) for t in texts])
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHARS_PER_STEP, "right")))
+        yield start, stop
+        start = stop
+
+
+def _keyed(ids: pa.Array, text: np.ndarray, keys: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(keys)], [name, "key"])
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, key, short): the keys of items, and the class of their length if they are shorter than a stretch."""
+    for batch in batches:
+        listed = [words_of(t) for t in batch.column(1).to_pylist()]
+        text, keys = item_keys(listed)
+        short = np.array([min(len(w), SHINGLE_WORDS) if len(w) < STRETCH_WORDS else 0 for w in listed], np.int32)
+        rows = _keyed(batch.column(0), text, keys, "item_id")
+        yield rows.append_column("short", pa.array(short[text]))
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates whose document contains the item; rows of one document follow each other."""
+    last, document = None, np.zeros(0, np.uint64)
     for batch in batches:
-        ends = batch["t"].str.len().to_numpy().cumsum()
-        start = 0
-        while start < len(batch):
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + CHARS_PER_STEP, "right")))
-            yield batch.iloc[start:stop]
-            start = stop
+        docs, texts, ids, items = (batch.column(k) for k in range(4))
+        kept = []
+        for r, item in enumerate(items.to_pylist()):
+            doc = docs[r].as_py()
+            if doc != last:
+                last, document = doc, _codes([words_of(texts[r].as_py())])[0]
+            kept.append(contains(document, _codes([words_of(item)])[0]))
+        words = np.array(kept, np.int64)
+        rows = pa.RecordBatch.from_arrays([docs, ids, pa.array(words)], ["doc_id", "item_id", "words"])
+        yield rows.filter(pa.array(words > 0))
 
 
 def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(`doc_id`, `item_id`, `words`): documents that contain an item, with the length of the longest stretch."""
-    spark = documents.sparkSession
-    blocks = max(1, math.ceil(items.count() / ITEMS_PER_BLOCK))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).where(F.length("t") > 0)
-    listed = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("t"))
-    parts = []
-    for b in range(blocks):
-        block = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in block.collect()]))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for part in _steps(batches):
-                ids = part["doc_id"].to_numpy()
-                codes, lengths = _codes([words_of(t) for t in part["t"]])
-                starts = np.cumsum(lengths) - lengths
-                rows = []
-                for d, i in index.candidates(codes, lengths):
-                    stretch = longest_stretch(codes[starts[d] : starts[d] + lengths[d]], index.words[i])
-                    if stretch >= min(STRETCH_WORDS, len(index.words[i])):
-                        rows.append((ids[d], index.ids[i], stretch))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words"]).astype("int64")
-
-        parts.append(docs.mapInPandas(search, "doc_id long, item_id long, words long"))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+    listed = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item")).where(F.length("item") > 0).distinct()
+    known = cut_lineage(listed.mapInArrow(_items, "item_id long, key long, short int").distinct())
+    short = frozenset(r[0] for r in known.select("short").distinct().collect()) - {0}
+    wanted = known.select("key").distinct()
+    few = wanted.count() <= BROADCAST_KEYS
+    shared = documents.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64)) if few else None)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = shared.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for start, stop in _steps(texts):
+                found, keys = document_keys(*_codes([words_of(t) for t in texts[start:stop]]), short)
+                if only is not None:
+                    place = np.searchsorted(only, keys)
+                    hit = (place < len(only)) & (only[np.minimum(place, len(only) - 1)] == keys) if len(only) else np.zeros(len(keys), bool)
+                    found, keys = found[hit], keys[hit]
+                yield _keyed(batch.column(0), found + start, keys, "doc_id")
+
+    candidates = docs.mapInArrow(search, "doc_id long, key long").join(known.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    candidates = cut_lineage(candidates)
+    asked = F.broadcast(candidates) if candidates.count() <= BROADCAST_CANDIDATES else candidates
+    pairs = docs.join(asked, "doc_id").join(listed, "item_id") if asked is not candidates else docs.join(candidates.join(listed, "item_id"), "doc_id")
+    return pairs.select("doc_id", "t", "item_id", "item").mapInArrow(_verified, "doc_id long, item_id long, words long").groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

@@ -55,13 +55,21 @@ def test_planted_passages(spark):
     assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 1
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_many_items_are_joined_without_a_broadcast(spark, monkeypatch):
     docs, items, _ = planted()
     whole = found(spark, docs, items)
-    monkeypatch.setattr(K, "ITEMS_PER_BLOCK", 6)
+    monkeypatch.setattr(K, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(K, "BROADCAST_CANDIDATES", 0)
     assert found(spark, docs, items) == whole
 
 
+def test_short_items_in_long_documents(spark):
+    rng = random.Random(6)
+    items = [(1, "Zebra"), (2, "blue zebra"), (3, "blue zebra runs"), (4, "the blue zebra runs home now"), (5, "zebra blue")]
+    docs = [(k, " ".join(sample(rng, 300) + tail.split() + sample(rng, 300))) for k, tail in enumerate(["A ZEBRA!", "blue, zebra", "blue <b>zebra</b> runs", "the blue zebra runs home now", "nothing"])]
+    assert found(spark, docs, items) == {(0, 1), (1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3), (3, 4)}
+
+
 def test_nulls_short_items_repeats_and_empty(spark):
     item = " ".join(WORDS[:40])
     docs = [(1, None), (2, ""), (3, "hi"), (4, item), (4, item), (5, "q " * 60_000 + item)]
