@@ -27,8 +27,14 @@ def fixed(value: Column, places: int = 2) -> Column:
 
 
 def polynomial_hash(text: Column) -> Column:
-    """The 32-bit polynomial hash with base 31 of the code points of `text`, unsigned."""
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: F.when(c == "", h).otherwise((h * 31 + F.ascii(c)) % (1 << 32)))
+    """The absolute value of the base-31 hash of `text` in signed 32-bit steps.
+
+    Each step multiplies in 32 bits and adds the code of a character without wrapping; of
+    a character outside the basic plane the first half of its pair counts.
+    """
+    code = lambda c: F.when(F.ascii(c) > 0xFFFF, F.lit(0xD800) + F.shiftright(F.ascii(c) - 0x10000, 10)).otherwise(F.ascii(c))
+    step = lambda h, c: F.pmod(h * 31 + (1 << 31), F.lit(1 << 32)) - (1 << 31) + code(c)
+    return F.abs(F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: F.when(c == "", h).otherwise(step(h, c))))
 
 
 def isbn13_valid(code: Column) -> Column:
@@ -40,6 +46,26 @@ def isbn13_valid(code: Column) -> Column:
     return F.coalesce((F.length(bare) == 13) & (total % 10 == 0), F.lit(False))
 
 
+def _ten_sum(bare: Column, places: int) -> Column:
+    total = F.lit(0)
+    for k in range(places):
+        sign = F.substring(bare, k + 1, 1)
+        total = total + F.when(sign == "X", 10).otherwise(sign.try_cast("int")) * (10 - k)
+    return total
+
+
+def isbn10_valid(code: Column) -> Column:
+    """True for nine digits and a check digit or X that fits."""
+    bare = F.regexp_replace(F.upper(code), "[^0-9X]", "")
+    return F.coalesce(bare.rlike("^[0-9]{9}[0-9X]$") & (_ten_sum(bare, 10) % 11 == 0), F.lit(False))
+
+
+def isbn10_of(nine: Column) -> Column:
+    """The ten-digit number of nine book digits."""
+    check = (11 - _ten_sum(nine, 9) % 11) % 11
+    return F.concat(nine, F.when(check == 10, "X").otherwise(check.cast("string")))
+
+
 def isbn13_of(nine: Column) -> Column:
     """The thirteen-digit number of nine book digits, with prefix 978 and check digit."""
     body = F.concat(F.lit("978"), nine)

@@ -21,6 +21,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+# Weights of a platform score, its acceptance, and what counts as dominance or evidence.
+SHARED_SCORE = 0.75
+DOMINANCE = 2
+LEAST_MENTIONS = 2
+
+
+def platform_score(pairs: DataFrame) -> DataFrame:
+    """`pairs` with `hundredths`: half for shared topics, two fifths for shared title words, a tenth for like severities."""
+    severity = F.when(F.col("severity_a") == F.col("severity_b"), 1.0).when((F.col("severity_a") == "unknown") | (F.col("severity_b") == "unknown"), 0.7).otherwise(0.4)
+    score = jaccard(F.col("topics_a"), F.col("topics_b")) * 0.5 + jaccard(F.col("tokens_a"), F.col("tokens_b")) * 0.4 + severity * 0.1
+    return pairs.withColumn("hundredths", F.round(100 * score + 1e-9).cast("long"))
+
+
+def dominance(a: str, b: str) -> Column:
+    """Which side of a match has twice the mentions of the other, or `shared`."""
+    return F.when(F.col(a) >= DOMINANCE * F.col(b), "dominant_a").when(F.col(b) >= DOMINANCE * F.col(a), "dominant_b").otherwise("shared")
+
+
 def similar_titles(titles: DataFrame, block: Sequence[str], least: float = 0.5) -> DataFrame:
     """(`a`, `b`): pairs of `id` of one block whose token sets reach `least`.
 

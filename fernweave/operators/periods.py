@@ -11,9 +11,9 @@ LEAST_SAMPLE = 8
 
 
 def period_of(at: Column, boundary: Column | int, span: int) -> Column:
-    """before for `[boundary - span, boundary)`, after for `[boundary, boundary + span)`, else null."""
+    """before for `[boundary - span, boundary)`, after for `[boundary, boundary + span]`, else null."""
     edge = boundary if isinstance(boundary, Column) else F.lit(boundary)
-    return F.when((at >= edge - span) & (at < edge), "before").when((at >= edge) & (at < edge + span), "after")
+    return F.when((at >= edge - span) & (at < edge), "before").when((at >= edge) & (at <= edge + span), "after")
 
 
 def compared(rows: DataFrame, keys: Sequence[str], period: Column = None) -> DataFrame:
@@ -73,3 +73,23 @@ def detected(counts: DataFrame) -> DataFrame:
         ((F.round(rate_after - rate_before, 12) >= 0.08) & enough).alias("regression"),
         ((F.col("negative_before") >= 3) & (F.round(share_before - share, 12) >= 0.08)).alias("improvement"),
     )
+
+
+def confidence(before: Column, after: Column, status_before: Column, status_after: Column, delta: Column, consistency: float = 0.8) -> Column:
+    """Confidence in a comparison: sample size and coverage with .35 each, consistency of themes with .2, size of the shift with .1.
+
+    `status_*` is full, partial or insufficient. A partly covered period caps it at .69, a
+    thin one (under `LEAST_SAMPLE` reviews or insufficiently covered) at .39.
+    """
+    quality = [F.when(s == "full", 1.0).when(s == "partial", 0.65).when(s == "insufficient", 0.25).otherwise(0.5) for s in (status_before, status_after)]
+    sample = F.least(F.lit(1.0), F.least(before, after) / 40)
+    shift = F.when(delta.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.abs(delta) / 0.1))
+    raw = sample * 0.35 + F.least(*quality) * 0.35 + consistency * 0.2 + shift * 0.1
+    thin = (before < LEAST_SAMPLE) | (after < LEAST_SAMPLE) | (status_before == "insufficient") | (status_after == "insufficient")
+    partial = (status_before != "full") | (status_after != "full")
+    return F.greatest(F.lit(0.0), F.least(raw, F.when(thin, 0.39).when(partial, 0.69).otherwise(1.0)))
+
+
+def confidence_label(value: Column) -> Column:
+    """high from .8, medium from .6, else low."""
+    return F.when(value >= 0.8, "high").when(value >= 0.6, "medium").otherwise("low")

@@ -20,10 +20,10 @@ def top_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return ranked(rows, keys, order, "rank").where(F.col("rank") <= n)
 
 
-def seeded_sample(rows: DataFrame, keys: Sequence[str], record_id: Column, seq: str, n: int, seed: str) -> DataFrame:
-    """`n` rows of each key, the ones with the smallest seeded hash of their id; fewer rows stay all."""
+def seeded_sample(rows: DataFrame, keys: Sequence[str], record_id: Column, n: int, seed: str) -> DataFrame:
+    """`n` rows of each key, the ones with the smallest seeded hash of their id, among equals the smallest id; fewer rows stay all."""
     hashed = rows.withColumn("_h", polynomial_hash(F.concat(F.lit(f"{seed}|"), record_id)))
-    return top_per_key(hashed, keys, [F.col("_h"), F.col(seq)], n).drop("_h", "rank")
+    return top_per_key(hashed, keys, [F.col("_h"), record_id.cast("string")], n).drop("_h", "rank")
 
 
 def interleaved(rows: DataFrame, queue: Sequence[str], order: Sequence[Column], queue_order: Sequence[Column], n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from fernweave.plans.catalog import Catalog
 from fernweave.session import table
 
 query = Catalog()
+SNAPSHOT_DAY = "2025-06-01"
 
 _CLEAN = "nullif(trim(regexp_replace({0}, '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g')), '')"
 _HOST = (
@@ -59,11 +60,11 @@ def sc_10_urls(spark, sf_dir):
 @query(r"""WITH a AS (SELECT row_id, regexp_replace(regexp_replace(trim(contact.website), '#.*$', ''), '(?i)^https?://(www\.)?', '') AS x FROM restaurants WHERE regexp_matches(contact.website, '(?i)^https?://[^/\s.]+\.')),
   b AS (SELECT row_id, lower(regexp_extract(x, '^([^/?]*)', 1)) AS host, regexp_replace(regexp_replace(regexp_replace(regexp_extract(x, '^[^/?]*(.*)$', 1), '(?i)([?&])(?:utm_[a-z]+|fbclid|gclid|ref)=[^&]*', '\1', 'g'),
     '([?&])&+', '\1', 'g'), '[?&]+$', '') AS rest FROM a)
-  SELECT row_id, 'https://' || host || regexp_replace(rest, '/+(\?|$)', '\1') AS canonical FROM b""")
+  SELECT restaurants.row_id, 'https://' || host || regexp_replace(rest, '/+(\?|$)', '\1') AS canonical FROM restaurants LEFT JOIN b USING (row_id)""")
 def sc_11_canonical_urls(spark, sf_dir):
     """One spelling of each web address."""
-    rows = table(spark, sf_dir, "restaurants").where(F.col("contact.website").rlike(r"(?i)^https?://[^/\s.]+\."))
-    return rows.select("row_id", web.canonical_url(F.col("contact.website")).alias("canonical"))
+    website = F.col("contact.website")
+    return table(spark, sf_dir, "restaurants").select("row_id", F.when(website.rlike(r"(?i)^https?://[^/\s.]+\."), web.canonical_url(website)).alias("canonical"))
 
 
 @query(r"""WITH a AS (SELECT venue_id, regexp_replace(contact.phone, '[^0-9+]', '', 'g') AS x FROM venues), b AS (SELECT venue_id, regexp_extract(x, '^(\+?)', 1) || replace(x, '+', '') AS x FROM a)
@@ -83,11 +84,27 @@ def sc_13_emails(spark, sf_dir):
     return rows.select("doc_id", F.explode(web.emails_in(F.col("text"))).alias("email")).withColumn("kind", web.email_kind(F.col("email")))
 
 
-@query("SELECT p_partkey, '978' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || CAST((10 - (38 + list_sum(list_transform(range(9), lambda k: CAST(substr(lpad(CAST(p_partkey AS VARCHAR), 9, '0'), CAST(k AS INTEGER) + 1, 1) AS INTEGER) * (CASE WHEN k % 2 = 0 THEN 3 ELSE 1 END)))) % 10) % 10 AS VARCHAR) AS isbn, TRUE AS valid FROM part")
+_BODY = "'978' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_BODY} || CAST(p_size % 10 AS VARCHAR) AS isbn FROM part), d AS (SELECT *, list_sum(list_transform(range(13), lambda k: CAST(substr(isbn, CAST(k AS INTEGER) + 1, 1) AS INTEGER) * (CASE WHEN k % 2 = 0 THEN 1 ELSE 3 END))) AS total,
+    list_sum(list_transform(range(9), lambda k: CAST(substr(isbn, CAST(k AS INTEGER) + 4, 1) AS INTEGER) * (10 - k))) AS ten FROM n)
+  SELECT p_partkey, isbn, total % 10 = 0 AS valid, substr(isbn, 4, 9) || CASE (11 - ten % 11) % 11 WHEN 10 THEN 'X' ELSE CAST((11 - ten % 11) % 11 AS VARCHAR) END AS isbn10 FROM d""")
 def sc_17_isbn(spark, sf_dir):
-    """Book numbers made from part keys, with their check digit, and its test."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", numbers.isbn13_of(F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("isbn"))
-    return parts.withColumn("valid", numbers.isbn13_valid(F.col("isbn")))
+    """Book numbers with a check digit that mostly doesn't fit, their test, and the ten-digit number of the same book."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("978"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), (F.col("p_size") % 10).cast("string")).alias("isbn"))
+    return parts.withColumn("valid", numbers.isbn13_valid(F.col("isbn"))).withColumn("isbn10", numbers.isbn10_of(F.substring("isbn", 4, 9)))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, substr({_BODY}, 4) AS nine FROM part), d AS (SELECT *, list_sum(list_transform(range(9), lambda k: CAST(substr(nine, CAST(k AS INTEGER) + 1, 1) AS INTEGER) * (10 - k))) AS ten FROM n),
+    c AS (SELECT p_partkey, nine || CASE WHEN p_partkey % 3 = 0 THEN 'X' ELSE CAST(p_partkey % 10 AS VARCHAR) END AS code, CASE WHEN p_partkey % 3 = 0 THEN 10 ELSE p_partkey % 10 END AS digit, ten FROM d)
+  SELECT p_partkey, code, (ten + digit) % 11 = 0 AS valid FROM c""")
+def sc_17_isbn10(spark, sf_dir):
+    """Ten-digit book numbers with a right or wrong check sign, and their test."""
+    nine = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    sign = F.when(F.col("p_partkey") % 3 == 0, "X").otherwise((F.col("p_partkey") % 10).cast("string"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(nine, sign).alias("code"))
+    return parts.withColumn("valid", numbers.isbn10_valid(F.col("code")))
 
 
 @query("""SELECT lead_id, 'lead:' || left(sha256(coalesce(lower(firmName), '') || '|' || coalesce(domain, '') || '|' || coalesce(locations[1].city, '')), 24) AS stable_id FROM quickbooks_firms""")
@@ -97,23 +114,6 @@ def er_10_stable_ids(spark, sf_dir):
     return rows.select("lead_id", numbers.stable_id("lead", F.lower("firmName"), F.col("domain"), F.try_element_at("locations", F.lit(1))["city"]).alias("stable_id"))
 
 
-@query("""SELECT lead_id, least(95, (CASE WHEN len(phoneNumbers) > 0 THEN 40 ELSE 0 END) + (CASE WHEN website IS NOT NULL THEN 20 ELSE 0 END) + (CASE WHEN len(emails) > 0 THEN 25 ELSE 0 END) + (CASE WHEN descriptionOriginal IS NOT NULL THEN 10 ELSE 0 END)) AS completeness FROM xero_firms""")
-def cls_13_completeness(spark, sf_dir):
-    """How complete each firm's record is."""
-    def has(c):
-        return F.when(c, 1).otherwise(0)
-
-    score = has(F.size("phoneNumbers") > 0) * 40 + has(F.col("website").isNotNull()) * 20 + has(F.size("emails") > 0) * 25 + has(F.col("descriptionOriginal").isNotNull()) * 10
-    return table(spark, sf_dir, "xero_firms").select("lead_id", F.least(F.lit(95), score).alias("completeness"))
-
-
-@query("SELECT lead_id, service, row_number() OVER (PARTITION BY lead_id ORDER BY service) AS place FROM (SELECT DISTINCT lead_id, unnest(services) AS service FROM xero_firms)")
-def cls_9_services(spark, sf_dir):
-    """Distinct services of each firm in order."""
-    rows = table(spark, sf_dir, "xero_firms").select("lead_id", F.posexplode(F.array_sort(F.array_distinct("services"))).alias("place", "service"))
-    return rows.select("lead_id", "service", (F.col("place") + 1).alias("place"))
-
-
 @query("""WITH k AS (SELECT row_id, sourceBusiness.canonicalUrl AS key FROM restaurants) SELECT row_id FROM k QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY row_id) = 1""")
 def set_3_first_by_key(spark, sf_dir):
     """The first record of each canonical address; records without one all stay."""
@@ -208,18 +208,19 @@ def agg_22_pages_per_host(spark, sf_dir):
     return out.join(merging.members(rows, ["host"], "services"), "host", "left").withColumn("services", F.array_join("services", ","))
 
 
-@query("""WITH o AS (SELECT restaurantId, rating, reviewCount, contact.phone AS phone FROM restaurants QUALIFY row_number() OVER (PARTITION BY restaurantId ORDER BY row_id) = 1 ),
-  n AS (SELECT restaurantId, rating, reviewCount, contact.phone AS phone FROM restaurants WHERE row_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY restaurantId ORDER BY row_id DESC) = 1),
+@query("""WITH read AS MATERIALIZED (SELECT restaurantId, row_id, rating, reviewCount, contact, coalesce(epoch_us(sourceBusiness.scrapedAt), 0) < 1748736000000000 AS early FROM restaurants), o AS (SELECT restaurantId, rating, reviewCount, contact.phone AS phone FROM read WHERE early QUALIFY row_number() OVER (PARTITION BY restaurantId ORDER BY row_id) = 1),
+  n AS (SELECT restaurantId, rating, reviewCount, contact.phone AS phone FROM read WHERE NOT early QUALIFY row_number() OVER (PARTITION BY restaurantId ORDER BY row_id DESC) = 1),
   j AS (SELECT coalesce(o.restaurantId, n.restaurantId) AS restaurantId, o.restaurantId IS NULL AS isnew, n.restaurantId IS NULL AS gone, o.rating AS r1, n.rating AS r2, o.reviewCount AS c1, n.reviewCount AS c2, o.phone AS p1, n.phone AS p2 FROM o FULL JOIN n ON o.restaurantId = n.restaurantId)
   SELECT restaurantId, 'added' AS change FROM j WHERE isnew UNION ALL SELECT restaurantId, 'removed' FROM j WHERE gone
   UNION ALL SELECT restaurantId, CASE WHEN r2 > r1 THEN 'ratingIncreased' WHEN r2 < r1 THEN 'ratingDecreased' ELSE 'ratingChanged' END FROM j WHERE NOT isnew AND NOT gone AND r1 IS DISTINCT FROM r2
   UNION ALL SELECT restaurantId, CASE WHEN c2 > c1 THEN 'reviewsIncreased' WHEN c2 < c1 THEN 'reviewsDecreased' ELSE 'reviewsChanged' END FROM j WHERE NOT isnew AND NOT gone AND c1 IS DISTINCT FROM c2
   UNION ALL SELECT restaurantId, 'contactChanged' FROM j WHERE NOT isnew AND NOT gone AND p1 IS DISTINCT FROM p2""")
 def er_12_snapshot_changes(spark, sf_dir):
-    """What changed between the first and a later snapshot of each restaurant."""
-    rows = table(spark, sf_dir, "restaurants").select("restaurantId", "row_id", "rating", "reviewCount", F.col("contact.phone").alias("phone"))
-    old = joins.one_per_key(rows, ["restaurantId"], "row_id")
-    new = joins.one_per_key(rows.where("row_id % 3 <> 0"), ["restaurantId"], "row_id", last=True)
+    """What changed between the snapshots of records read before and after a day; records without time count as read before."""
+    rows = table(spark, sf_dir, "restaurants").select("restaurantId", "row_id", "rating", "reviewCount", F.col("contact.phone").alias("phone"), F.col("sourceBusiness.scrapedAt").alias("at"))
+    early = F.coalesce(F.col("at") < F.lit(SNAPSHOT_DAY).cast("timestamp"), F.lit(True))
+    old = joins.one_per_key(rows.where(early).drop("at"), ["restaurantId"], "row_id")
+    new = joins.one_per_key(rows.where(~early).drop("at"), ["restaurantId"], "row_id", last=True)
     found = changes.snapshot_changes(old, new, "restaurantId", {"rating": ["rating"], "reviews": ["reviewCount"], "contact": ["phone"]})
     return found.select("restaurantId", "change")
 

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fernweave.functions import numbers, text
-from fernweave.operators import aggregates, clustering, delivery, joins, periods, quality, ranking
+from fernweave.functions import numbers
+from fernweave.operators import aggregates, delivery, joins, periods, quality, ranking
 from fernweave.plans.catalog import Catalog
 from fernweave.plans.views import ANALYSED_SQL, BOUNDARY, REVIEWS_SQL, SPAN, TOPICS_SQL, analysed, reviews
 
 query = Catalog()
-_AROUND = f"created >= {BOUNDARY - SPAN} AND created < {BOUNDARY + SPAN}"
-_PERIOD = f"CASE WHEN created >= {BOUNDARY - SPAN} AND created < {BOUNDARY} THEN 'before' WHEN created >= {BOUNDARY} AND created < {BOUNDARY + SPAN} THEN 'after' END"
+_AROUND = f"created >= {BOUNDARY - SPAN} AND created <= {BOUNDARY + SPAN}"
+_PERIOD = f"CASE WHEN created >= {BOUNDARY - SPAN} AND created < {BOUNDARY} THEN 'before' WHEN created >= {BOUNDARY} AND created <= {BOUNDARY + SPAN} THEN 'after' END"
+
+_HASH = (
+    "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN 55296 + ((unicode(c) - 65536) >> 10) ELSE unicode(c) END::BIGINT)), "
+    "lambda a, b: ((a * 31 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 + b)"
+)
 
 
 def _topics(spark, sf_dir, around=False):
@@ -49,26 +54,6 @@ def prj_1_review_rows(spark, sf_dir):
     )
 
 
-@query(f"""WITH {ANALYSED_SQL} SELECT seq, 'success' AS status, array_to_string(topics, ',') AS topics, sentiment, request,
-  len(topics) + (CASE WHEN request THEN 2 ELSE 0 END) + (CASE WHEN length(low) >= 30 THEN 1 ELSE 0 END) >= 2 AS actionable FROM ana WHERE low <> ''""")
-def cls_1_review_analysis(spark, sf_dir):
-    """Topics, sentiment, request sign and actionability of each review by the rule set."""
-    rows = analysed(spark, sf_dir).where("low <> ''")
-    weight = F.size("topics") + F.when(F.col("request"), 2).otherwise(0) + F.when(F.length("low") >= 30, 1).otherwise(0)
-    return rows.select("seq", F.lit("success").alias("status"), F.array_join("topics", ",").alias("topics"), "sentiment", "request", (weight >= 2).alias("actionable"))
-
-
-@query("""SELECT row_id AS seq, CASE WHEN regexp_matches(lower(coalesce(review, '')), '\\bcrash(es|ed)?\\b') THEN 'crash'
-  WHEN regexp_matches(lower(coalesce(review, '')), '\\b(stutters?|drops frames)\\b') THEN 'performance' ELSE 'none' END AS topic,
-  nullif(regexp_extract(lower(coalesce(review, '')), 'please rework the ([a-z -]+), because', 1), '') AS request FROM game_reviews""")
-def cls_2_patterns(spark, sf_dir):
-    """Word-boundary patterns, first match wins; the wish of a request by its pattern."""
-    low = F.col("low")
-    topic = F.when(low.rlike(r"\bcrash(es|ed)?\b"), "crash").when(low.rlike(r"\b(stutters?|drops frames)\b"), "performance").otherwise("none")
-    wish = F.regexp_extract("low", "please rework the ([a-z -]+), because", 1)
-    return reviews(spark, sf_dir).select("seq", topic.alias("topic"), F.when(wish != "", wish).alias("request"))
-
-
 # Filters
 
 
@@ -116,7 +101,7 @@ def jn_1_last_match(spark, sf_dir):
 
 
 @query(f"""WITH {TOPICS_SQL}, b AS (SELECT product_id, topic, count(*) AS n FROM top WHERE created >= {BOUNDARY - SPAN} AND created < {BOUNDARY} GROUP BY 1, 2),
-  a AS (SELECT product_id, topic, count(*) AS n FROM top WHERE created >= {BOUNDARY} AND created < {BOUNDARY + SPAN} GROUP BY 1, 2)
+  a AS (SELECT product_id, topic, count(*) AS n FROM top WHERE created >= {BOUNDARY} AND created <= {BOUNDARY + SPAN} GROUP BY 1, 2)
   SELECT product_id, topic, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after FROM b FULL JOIN a USING (product_id, topic)""")
 def jn_4_both_periods(spark, sf_dir):
     """Topic counts of both periods, zero where a period lacks the topic."""
@@ -124,7 +109,7 @@ def jn_4_both_periods(spark, sf_dir):
     return joins.both_sides(counted.where("period = 'before'"), counted.where("period = 'after'"), ["product_id", "topic"], ["n"])
 
 
-@query(f"""WITH {TOPICS_SQL} SELECT DISTINCT product_id, topic FROM top a WHERE created >= {BOUNDARY} AND created < {BOUNDARY + SPAN}
+@query(f"""WITH {TOPICS_SQL} SELECT DISTINCT product_id, topic FROM top a WHERE created >= {BOUNDARY} AND created <= {BOUNDARY + SPAN}
   AND NOT EXISTS (SELECT 1 FROM top b WHERE b.product_id = a.product_id AND b.topic = a.topic AND b.created >= {BOUNDARY - SPAN} AND b.created < {BOUNDARY})""")
 def jn_5_only_after(spark, sf_dir):
     """Topics of a product that appear only after the boundary."""
@@ -141,14 +126,6 @@ def jn_6_shared_topics(spark, sf_dir):
     return counted.where("desktop > 0 and handheld > 0")
 
 
-@query(f"""WITH {REVIEWS_SQL}, w AS (SELECT *, regexp_extract(low, 'please rework the ([a-z -]+), because', 1) AS wish, {_PERIOD} AS period FROM rev)
-  SELECT wish, count(*) FILTER (period = 'before') AS before, count(*) FILTER (period = 'after') AS after FROM w WHERE wish <> '' AND period IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (period = 'after') > 0""")
-def jn_7_wishes(spark, sf_dir):
-    """Wishes by period, those still made after the boundary."""
-    rows = _periods(reviews(spark, sf_dir, True)).withColumn("wish", F.regexp_extract("low", "please rework the ([a-z -]+), because", 1)).where("wish <> ''")
-    return periods.compared(rows, ["wish"]).where("after > 0").select("wish", "before", "after")
-
-
 @query(f"""WITH {REVIEWS_SQL}, o AS (SELECT review_id, votes_up, positive, language FROM rev WHERE review_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY seq) = 1),
   n AS (SELECT review_id, votes_up, positive, language FROM rev WHERE review_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY seq DESC) = 1),
   j AS (SELECT review_id, o.votes_up AS a1, n.votes_up AS b1, o.positive AS a2, n.positive AS b2, o.language AS a3, n.language AS b3 FROM o JOIN n USING (review_id))
@@ -187,15 +164,6 @@ def agg_2_report(spark, sf_dir):
     )
 
 
-@query(f"""WITH {TOPICS_SQL} SELECT topic, count(*) AS n, min(CASE WHEN contains(low, 'crashes') THEN 0 WHEN contains(low, 'freezes') THEN 1 WHEN sentiment = 'negative' THEN 2 ELSE 3 END) AS severity,
-  min(seq) AS first_seq FROM top WHERE sentiment <> 'positive' GROUP BY 1""")
-def agg_3_issues(spark, sf_dir):
-    """Mentions of each issue topic with its gravest severity."""
-    low = F.col("low")
-    rank = F.when(low.contains("crashes"), 0).when(low.contains("freezes"), 1).when(F.col("sentiment") == "negative", 2).otherwise(3)
-    return _topics(spark, sf_dir).where("sentiment <> 'positive'").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("severity"), F.min("seq").alias("first_seq"))
-
-
 @query(f"""WITH {TOPICS_SQL}, c AS (SELECT product_id, topic, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative FROM top GROUP BY 1, 2)
   SELECT * FROM c WHERE positive + negative > 0 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY positive + negative DESC, topic) <= 5""")
 def agg_6_topic_stats(spark, sf_dir):
@@ -219,11 +187,12 @@ def agg_9_period_themes(spark, sf_dir):
 
 
 @query(f"""WITH {REVIEWS_SQL} SELECT product_id, string_agg(language || '=' || n, ',' ORDER BY language) AS languages FROM
-  (SELECT product_id, language, count(*) AS n FROM rev WHERE language IN ('english', 'german', 'french') GROUP BY 1, 2) GROUP BY 1""")
+  (SELECT product_id, language, count(*) AS n FROM rev WHERE language IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
 def agg_10_language_map(spark, sf_dir):
-    """Counts by label of two halves of the data, added as maps."""
-    rows = reviews(spark, sf_dir).where(F.col("language").isin("english", "german", "french"))
-    halves = rows.groupBy("product_id", "language").agg(F.count_if(F.col("positive")).alias("a"), F.count_if(~F.col("positive")).alias("b"))
+    """Counts by label of recommending and other reviews of each product, added as maps."""
+    rows = reviews(spark, sf_dir).where(F.col("language").isNotNull())
+    votes = F.coalesce(F.col("positive"), F.lit(False))
+    halves = rows.groupBy("product_id", "language").agg(F.count_if(votes).alias("a"), F.count_if(~votes).alias("b"))
     maps = halves.groupBy("product_id").agg(
         F.map_from_entries(F.collect_list(F.struct("language", "a"))).alias("a"), F.map_from_entries(F.collect_list(F.struct("language", "b"))).alias("b")
     )
@@ -287,7 +256,7 @@ def win_7_coverage(spark, sf_dir):
 
 @query(f"""WITH {TOPICS_SQL}, b AS (SELECT product_id, min(created) + 30 * 86400 AS edge FROM rev WHERE created IS NOT NULL GROUP BY 1)
   SELECT product_id, topic, count(*) FILTER (created < edge) AS before, count(*) FILTER (created >= edge) AS after FROM top JOIN b USING (product_id)
-  WHERE created >= edge - {SPAN} AND created < edge + {SPAN} GROUP BY 1, 2""")
+  WHERE created >= edge - {SPAN} AND created <= edge + {SPAN} GROUP BY 1, 2""")
 def win_11_staggered(spark, sf_dir):
     """Topic counts around a boundary of each product's own."""
     rows = reviews(spark, sf_dir)
@@ -307,13 +276,14 @@ def srt_1_top_topics(spark, sf_dir):
     return ranking.top_per_key(counted, ["product_id"], [F.col("n").desc(), F.col("topic")], 3)
 
 
-@query(f"""WITH {REVIEWS_SQL}, h AS (SELECT seq, product_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split('7|' || review_id, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296) AS h
-    FROM rev WHERE review_id IS NOT NULL)
-  SELECT product_id, seq FROM h QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY h, seq) <= 5""")
+@query(f"""WITH {REVIEWS_SQL}, h AS (SELECT seq, review_id, product_id, abs({_HASH.format(x="'7|' || review_id")}) AS h FROM rev WHERE review_id IS NOT NULL AND seq IS NOT NULL),
+  f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY product_id, review_id ORDER BY seq) = 1)
+  SELECT product_id, review_id, h FROM f QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY h, review_id) <= 5""")
 def srt_5_seeded_sample(spark, sf_dir):
-    """Five reviews of each product by a seeded hash of their id."""
-    rows = reviews(spark, sf_dir).where(F.col("review_id").isNotNull()).select("product_id", "seq", "review_id")
-    return ranking.seeded_sample(rows, ["product_id"], F.col("review_id"), "seq", 5, "7").select("product_id", "seq")
+    """Five reviews of each product by a seeded hash of their id, each id once."""
+    rows = reviews(spark, sf_dir).where(F.col("review_id").isNotNull()).select("product_id", "review_id").distinct()
+    sampled = ranking.seeded_sample(rows, ["product_id"], F.col("review_id"), 5, "7")
+    return sampled.withColumn("h", numbers.polynomial_hash(F.concat(F.lit("7|"), F.col("review_id")))).select("product_id", "review_id", "h")
 
 
 @query(f"""WITH {REVIEWS_SQL}, t AS (SELECT product_id, seq, row_number() OVER (PARTITION BY product_id ORDER BY votes_up DESC, seq) AS turn FROM rev)
@@ -324,55 +294,6 @@ def srt_8_round_robin(spark, sf_dir):
     return ranking.interleaved(rows, ["product_id"], [F.col("votes_up").desc_nulls_last(), F.col("seq")], [F.col("product_id")], 500).select("product_id", "seq", "turn")
 
 
-# Clusters
-
-
-_TITLES = r"the ([a-z-]+ ?[a-z]+) (?:crashes|freezes|stutters|drops frames|loads forever|resets my settings|eats my progress)"
-
-
-def _issue_titles(spark, sf_dir):
-    found = reviews(spark, sf_dir).withColumn("title", F.regexp_extract("low", _TITLES, 1)).where("title <> ''")
-    counted = found.groupBy("product_id", "platform", "title").agg(F.count(F.lit(1)).alias("mentions"), F.min("seq").alias("first_seq"))
-    return counted.withColumn("id", F.xxhash64("product_id", "platform", "title")).withColumn("tokens", clustering.tokens(F.col("title")))
-
-
-@query(f"""WITH {REVIEWS_SQL}, f AS (SELECT product_id, regexp_extract(low, '{_TITLES}', 1) AS title FROM rev),
-  d AS (SELECT DISTINCT product_id, title, list_distinct(list_filter(regexp_split_to_array(title, '[^a-z0-9]+'), lambda t: length(t) > 2)) AS tokens FROM f WHERE title <> '')
-  SELECT a.product_id, a.title AS title_a, b.title AS title_b, len(list_intersect(a.tokens, b.tokens)) AS shared FROM d a JOIN d b ON a.product_id = b.product_id AND a.title < b.title
-  WHERE len(list_distinct(list_concat(a.tokens, b.tokens))) > 0 AND len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) >= 0.5""")
-def er_4_title_similarity(spark, sf_dir):
-    """Pairs of issue titles of a product that share half of their words."""
-    found = reviews(spark, sf_dir).withColumn("title", F.regexp_extract("low", _TITLES, 1)).where("title <> ''").select("product_id", "title").distinct()
-    titles = found.withColumn("id", F.xxhash64("product_id", "title")).withColumn("tokens", clustering.tokens(F.col("title")))
-    pairs = clustering.similar_titles(titles.where(F.size("tokens") > 0), ["product_id"])
-    a = titles.select(F.col("id").alias("a"), "product_id", F.col("title").alias("ta"), F.col("tokens").alias("ka"))
-    b = titles.select(F.col("id").alias("b"), F.col("title").alias("tb"), F.col("tokens").alias("kb"))
-    joined = pairs.join(a, "a").join(b, "b")
-    return joined.select("product_id", F.least("ta", "tb").alias("title_a"), F.greatest("ta", "tb").alias("title_b"), F.size(F.array_intersect("ka", "kb")).alias("shared"))
-
-
-@query()
-def er_1_issue_clusters(spark, sf_dir):
-    """Clusters of similar issue titles of a product and platform: members, mentions and the smallest title."""
-    titles = _issue_titles(spark, sf_dir).where(F.size("tokens") > 0)
-    roots = clustering.components(titles, clustering.similar_titles(titles, ["product_id", "platform"]))
-    joined = titles.join(roots, "id")
-    return joined.groupBy("product_id", "platform", "root").agg(
-        F.min("title").alias("canonical"), F.count(F.lit(1)).alias("titles"), F.sum("mentions").alias("mentions"), F.min("first_seq").alias("first_seq")
-    ).withColumn("cluster_id", F.concat(F.lit("issue-"), text.slug(F.col("canonical")), F.lit("-"), F.col("platform"))).drop("root")
-
-
-@query()
-def jn_9_platform_matches(spark, sf_dir):
-    """One-to-one matches of the issue titles of a product on both platforms, best scores first."""
-    titles = _issue_titles(spark, sf_dir)
-    sides = [titles.where(F.col("platform") == p).select("product_id", F.col("title").alias(f"title_{k}"), F.col("tokens").alias(f"tokens_{k}"), F.col("id").alias(k)) for k, p in (("a", "desktop"), ("b", "handheld"))]
-    words = [s.withColumn("t", F.explode(f"tokens_{k}")) for k, s in zip("ab", sides)]
-    met = words[0].join(words[1], ["product_id", "t"]).drop("t").dropDuplicates(["a", "b"])
-    scored = met.withColumn("score", clustering.jaccard(F.col("tokens_a"), F.col("tokens_b")))
-    return clustering.greedy_pairs(scored, 0.5).join(scored.select("a", "b", "product_id", "title_a", "title_b"), ["a", "b"]).select("product_id", "title_a", "title_b", "score")
-
-
 # Contracts
 
 
@@ -390,19 +311,20 @@ def val_6_duplicate_ids(spark, sf_dir):
     return quality.duplicate_ids(reviews(spark, sf_dir).where(F.col("review_id").isNotNull()), ["review_id"])
 
 
-@query("""SELECT menu_items.item_id FROM menu_items WHERE restaurantId IS NOT NULL AND restaurantId NOT IN (SELECT restaurantId FROM restaurants WHERE restaurantId IS NOT NULL)""")
+@query("""SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_partkey IS NOT NULL)""")
 def val_6_dangling(spark, sf_dir):
-    """Dishes whose restaurant isn't known."""
+    """Parts that no large order line refers to."""
     from fernweave.session import table
 
-    return quality.dangling(table(spark, sf_dir, "menu_items"), table(spark, sf_dir, "restaurants"), "restaurantId").select("item_id")
+    large = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 49).select(F.col("l_partkey").alias("p_partkey"))
+    return quality.dangling(table(spark, sf_dir, "part"), large, "p_partkey").select("p_partkey")
 
 
-@query(f"""WITH {REVIEWS_SQL} SELECT seq, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(review_id, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM rev WHERE review_id IS NOT NULL AND review_id <> ''""")
+@query(f"WITH {REVIEWS_SQL} SELECT seq, abs({_HASH.format(x='text')}) AS h FROM rev WHERE text <> ''")
 def sc_27_polynomial_hash(spark, sf_dir):
-    """The base-31 hash of each review id."""
-    rows = reviews(spark, sf_dir).where("review_id <> ''")
-    return rows.select("seq", numbers.polynomial_hash(F.col("review_id")).alias("h"))
+    """The base-31 hash of each review's text."""
+    rows = reviews(spark, sf_dir).where("text <> ''")
+    return rows.select("seq", numbers.polynomial_hash(F.col("text")).alias("h"))
 
 
 @query(f"""WITH {REVIEWS_SQL} SELECT product_id, seq FROM rev WHERE review_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY seq) = 1

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fernweave.plans import core_queries, entity_queries, extension_queries, feedback_queries, report_queries
+from fernweave.plans import analysis_queries, core_queries, entity_queries, extension_queries, feedback_queries, report_queries
 
 FLAGSHIP = "win_3_topic_changes"
-_CATALOGS = (feedback_queries.query, entity_queries.query, extension_queries.query, report_queries.query)
+_CATALOGS = (feedback_queries.query, analysis_queries.query, entity_queries.query, extension_queries.query, report_queries.query)
 
 
 def queries() -> dict:

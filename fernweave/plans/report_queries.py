@@ -12,7 +12,7 @@ from fernweave.session import table
 from fernweave.sources import sinks
 
 query = Catalog()
-_PERIOD = f"CASE WHEN created >= {BOUNDARY - SPAN} AND created < {BOUNDARY} THEN 'before' WHEN created >= {BOUNDARY} AND created < {BOUNDARY + SPAN} THEN 'after' END"
+_PERIOD = f"CASE WHEN created >= {BOUNDARY - SPAN} AND created < {BOUNDARY} THEN 'before' WHEN created >= {BOUNDARY} AND created <= {BOUNDARY + SPAN} THEN 'after' END"
 
 
 def _topics(spark, sf_dir, around=False):
@@ -89,11 +89,11 @@ def flt_4_cluster_candidates(spark, sf_dir):
     return analysed(spark, sf_dir).where((F.col("low") != "") & (F.size("topics") > 0) & ~F.col("request")).select("seq")
 
 
-@query("""SELECT lead_id FROM quickbooks_firms WHERE domain IS NOT NULL AND NOT regexp_matches(lower(domain), '(^|\\.)(social|pages|facebook|example\\.org)\\.') AND NOT regexp_matches(lower(domain), '\\.(png|jpg)$')""")
+@query("""SELECT lead_id FROM quickbooks_firms WHERE domain IS NOT NULL AND NOT regexp_matches(lower(domain), '(^|\\.)(facebook|instagram|linkedin|twitter|x|youtube|tiktok|pinterest|yelp)\\.com$|(^|\\.)(social|pages)\\.') AND NOT regexp_matches(lower(domain), '\\.(png|jpg|jpeg|gif|svg|webp)$')""")
 def flt_10_blocked_hosts(spark, sf_dir):
-    """Firms whose domain isn't a common host."""
+    """Firms whose domain is neither a network of profiles nor the name of a picture."""
     domain = F.lower("domain")
-    return table(spark, sf_dir, "quickbooks_firms").where(F.col("domain").isNotNull() & ~domain.rlike(r"(^|\.)(social|pages|facebook|example\.org)\.") & ~domain.rlike(r"\.(png|jpg)$")).select("lead_id")
+    return table(spark, sf_dir, "quickbooks_firms").where(F.col("domain").isNotNull() & ~domain.rlike(rules.PROFILE_HOSTS) & ~domain.rlike(r"\.(png|jpg|jpeg|gif|svg|webp)$")).select("lead_id")
 
 
 @query(r"""WITH h AS (SELECT row_id, contact.website AS u, lower(regexp_extract(contact.website, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)) AS host FROM restaurants)
@@ -191,30 +191,41 @@ def win_5_theme_rates(spark, sf_dir):
     return counted.join(totals, "period").select("topic", "period", "mentions", "total")
 
 
-@query(f"""WITH {REVIEWS_SQL}, c AS (SELECT product_id, count(*) FILTER ({_PERIOD} = 'before') AS b, count(*) FILTER ({_PERIOD} = 'after') AS a FROM rev GROUP BY 1),
-  s AS (SELECT *, CASE WHEN b < 8 OR a < 8 THEN 39 WHEN b < 20 OR a < 20 THEN least(69, 40 + least(a, b)) ELSE least(100, 60 + least(a, b) // 2) END AS confidence FROM c)
-  SELECT product_id, confidence, CASE WHEN confidence >= 80 THEN 'high' WHEN confidence >= 60 THEN 'medium' ELSE 'low' END AS label FROM s""")
+@query(f"""WITH {REVIEWS_SQL}, c AS (SELECT product_id, count(*) FILTER ({_PERIOD} = 'before') AS b, count(*) FILTER ({_PERIOD} = 'after') AS a, count(*) FILTER ({_PERIOD} = 'before' AND positive) AS pb, count(*) FILTER ({_PERIOD} = 'after' AND positive) AS pa FROM rev GROUP BY 1),
+  q AS (SELECT *, least(1, least(b, a) / 40) AS sample, CASE WHEN least(b, a) < 8 THEN 0.25 ELSE 1 END AS covered, CASE WHEN b > 0 AND a > 0 THEN least(1, abs(pa / a - pb / b) / 0.1) ELSE 0 END AS shift FROM c),
+  r AS (SELECT *, sample * 0.35 + covered * 0.35 + 0.8 * 0.2 + shift * 0.1 AS raw FROM q), s AS (SELECT product_id, round(CASE WHEN least(b, a) < 8 THEN least(raw, 0.39) ELSE raw END, 6)::DOUBLE AS confidence FROM r)
+  SELECT product_id, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS label FROM s""")
 def win_6_confidence(spark, sf_dir):
-    """A confidence from both sample sizes, capped where a period is thin."""
-    counted = reviews(spark, sf_dir).withColumn("period", _period()).groupBy("product_id").agg(F.count_if(F.col("period") == "before").alias("b"), F.count_if(F.col("period") == "after").alias("a"))
-    least = F.least("a", "b")
-    score = F.when(least < 8, 39).when(least < 20, F.least(F.lit(69), 40 + least)).otherwise(F.least(F.lit(100), 60 + F.floor(least / 2)))
-    scored = counted.withColumn("confidence", score.cast("long"))
-    return scored.select("product_id", "confidence", F.when(F.col("confidence") >= 80, "high").when(F.col("confidence") >= 60, "medium").otherwise("low").alias("label"))
+    """A confidence from sample size, coverage, consistency and shift of each product's periods, capped where a period is thin."""
+    p, positive = F.col("period"), F.coalesce("positive", F.lit(False))
+    counted = reviews(spark, sf_dir).withColumn("period", _period()).groupBy("product_id").agg(
+        F.count_if(p == "before").alias("b"), F.count_if(p == "after").alias("a"), F.count_if((p == "before") & positive).alias("pb"), F.count_if((p == "after") & positive).alias("pa")
+    )
+    delta = F.try_divide("pa", "a") - F.try_divide("pb", "b")
+    status = F.when(F.least("a", "b") < 8, "insufficient").otherwise("full")
+    scored = counted.withColumn("confidence", F.round(periods.confidence(F.col("b"), F.col("a"), status, status, delta), 6))
+    return scored.select("product_id", "confidence", periods.confidence_label(F.col("confidence")).alias("label"))
+
 
+_STRONG, _GENERAL, _CHANGED, _PROMOTED, _EVENTS = (
+    "(" + " OR ".join(f"contains({c}, '{t}')" for t in terms) + ")" for c, terms in (("title", rules.PATCH_TITLES), ("title", rules.UPDATE_TITLES), ("low", rules.CHANGE_TERMS), ("title", rules.PROMOTION_TERMS), ("title", rules.EVENT_TERMS))
+)
+_CHANGES = " + ".join(f"contains(low, '{t}')::INT" for t in rules.CHANGE_TERMS)
 
-@query(r"""WITH s AS (SELECT doc_id, product_id, text, (CASE WHEN regexp_matches(text, '\b[Pp]atch [0-9]') THEN 45 ELSE 0 END) + (CASE WHEN contains(lower(text), 'fixed an issue') THEN 25 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[0-9]+\.[0-9]+') THEN 10 ELSE 0 END)
-    - (CASE WHEN contains(lower(text), 'event') THEN 30 ELSE 0 END) AS score, epoch_us(published_at) AS t FROM documents WHERE record_type = 'news' AND text IS NOT NULL AND product_id IS NOT NULL)
-  SELECT product_id, doc_id, score FROM s WHERE score >= 45 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY score DESC, t, doc_id) = 1""")
+
+@query(rf"""WITH n AS (SELECT doc_id, product_id, lower(text) AS low, regexp_extract(text, '^([^\n]*)', 1) AS line, lower(regexp_extract(text, '^([^\n]*)', 1)) AS title, published_at, max(published_at) OVER (PARTITION BY product_id) AS latest FROM documents
+    WHERE record_type = 'news' AND text IS NOT NULL AND product_id IS NOT NULL),
+  s AS (SELECT *, greatest(0, least(100, CASE WHEN {_STRONG} THEN 45 WHEN {_GENERAL} THEN 25 ELSE 0 END + CASE WHEN {_CHANGES} >= 2 THEN 20 ELSE 0 END + 15 + CASE WHEN regexp_matches(line, '(?i)\b(?:v|version\s*)?\d+\.\d+(?:[a-z])?\b') THEN 10 ELSE 0 END
+    + CASE WHEN published_at = latest THEN 10 ELSE 0 END - CASE WHEN {_PROMOTED} THEN 40 ELSE 0 END - CASE WHEN {_EVENTS} THEN 30 ELSE 0 END)) AS score FROM n)
+  SELECT product_id, doc_id, score, score >= {rules.PATCH_ACCEPTED} AS accepted FROM s QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY score DESC, published_at NULLS FIRST, line, doc_id) = 1""")
 def win_9_best_patch(spark, sf_dir):
-    """The news item of each product that most looks like patch notes, the older of equals."""
-    low = F.lower("text")
-    score = (
-        F.when(F.col("text").rlike(r"\b[Pp]atch [0-9]"), 45).otherwise(0) + F.when(low.contains("fixed an issue"), 25).otherwise(0) + F.when(F.col("text").rlike(r"[0-9]+\.[0-9]+"), 10).otherwise(0) - F.when(low.contains("event"), 30).otherwise(0)
-    )
+    """The news item of each product that most looks like patch notes by its first line, its words and its time, the older of equals."""
     rows = table(spark, sf_dir, "documents").where((F.col("record_type") == "news") & F.col("text").isNotNull() & F.col("product_id").isNotNull())
-    scored = rows.select("product_id", "doc_id", score.alias("score"), F.col("published_at").alias("t")).where("score >= 45")
-    return ranking.top_per_key(scored, ["product_id"], [F.col("score").desc(), F.col("t").asc_nulls_last(), F.col("doc_id")], 1).select("product_id", "doc_id", "score")
+    latest = rows.groupBy("product_id").agg(F.max("published_at").alias("latest"))
+    line = F.regexp_extract("text", r"^([^\n]*)", 1)
+    scored = rows.join(latest, "product_id").select("product_id", "doc_id", "published_at", line.alias("line"), rules.patch_score(line, F.col("text"), F.col("published_at") == F.col("latest")).alias("score"))
+    best = ranking.top_per_key(scored, ["product_id"], [F.col("score").desc(), F.col("published_at").asc_nulls_first(), F.col("line"), F.col("doc_id")], 1)
+    return best.select("product_id", "doc_id", "score", (F.col("score") >= rules.PATCH_ACCEPTED).alias("accepted"))
 
 
 # Rankings and sets
@@ -256,28 +267,31 @@ def set_14_candidates_merged(spark, sf_dir):
 # Identity
 
 
-@query("""WITH x AS (SELECT lead_id, lower(trim(firmName)) AS name, lower(domain) AS domain FROM xero_firms), q AS (SELECT lead_id, lower(trim(firmName)) AS name, lower(domain) AS domain FROM quickbooks_firms),
-  m AS (SELECT x.lead_id AS a, q.lead_id AS b FROM x JOIN q ON x.name = q.name UNION SELECT x.lead_id, q.lead_id FROM x JOIN q ON x.domain = q.domain AND x.domain <> 'pages.social.example')
+@query("""WITH firms AS (SELECT lower(domain) AS domain, lower(trim(firmName)) AS name FROM xero_firms UNION ALL SELECT lower(domain), lower(trim(firmName)) FROM quickbooks_firms),
+  hosts AS (SELECT domain FROM firms WHERE domain IS NOT NULL GROUP BY 1 HAVING count(DISTINCT name) > 20),
+  x AS (SELECT lead_id, lower(trim(firmName)) AS name, CASE WHEN lower(domain) NOT IN (SELECT domain FROM hosts) THEN lower(domain) END AS domain FROM xero_firms),
+  q AS (SELECT lead_id, lower(trim(firmName)) AS name, CASE WHEN lower(domain) NOT IN (SELECT domain FROM hosts) THEN lower(domain) END AS domain FROM quickbooks_firms),
+  m AS (SELECT x.lead_id AS a, q.lead_id AS b FROM x JOIN q ON x.name = q.name UNION SELECT x.lead_id, q.lead_id FROM x JOIN q ON x.domain = q.domain)
   SELECT a, b, CASE WHEN x.name = q.name AND x.domain = q.domain THEN 98 WHEN x.domain = q.domain THEN 95 ELSE 65 END AS confidence FROM m JOIN x ON x.lead_id = a JOIN q ON q.lead_id = b""")
 def er_6_exact_matches(spark, sf_dir):
-    """Firms of both directories with the same name or domain, with a confidence by what agrees."""
-    sides = []
-    for s, t in (("a", "xero_firms"), ("b", "quickbooks_firms")):
-        sides.append(table(spark, sf_dir, t).select(F.col("lead_id").alias(s), F.lower(F.trim("firmName")).alias(f"name_{s}"), F.lower("domain").alias(f"domain_{s}")))
-    x, q = sides
+    """Firms of both directories with the same name or own domain, with a confidence by what agrees; a domain of more than 20 names is a host."""
+    rows = [table(spark, sf_dir, t).select("lead_id", F.lower(F.trim("firmName")).alias("name"), F.lower("domain").alias("domain")) for t in ("xero_firms", "quickbooks_firms")]
+    hosts = rows[0].unionByName(rows[1]).where(F.col("domain").isNotNull()).groupBy("domain").agg(F.count_distinct("name").alias("n")).where("n > 20").select("domain", F.lit(True).alias("host"))
+    x, q = (r.join(hosts, "domain", "left").select(F.col("lead_id").alias(s), F.col("name").alias(f"name_{s}"), F.when(F.col("host").isNull(), F.col("domain")).alias(f"domain_{s}")) for s, r in zip("ab", rows))
     by_name = x.join(q, F.col("name_a") == F.col("name_b"))
-    by_domain = x.join(q, F.col("domain_a") == F.col("domain_b")).where("domain_a <> 'pages.social.example'")
+    by_domain = x.join(q, F.col("domain_a") == F.col("domain_b"))
     both = by_name.unionByName(by_domain).dropDuplicates(["a", "b"])
     same_name, same_domain = F.col("name_a") == F.col("name_b"), F.col("domain_a") == F.col("domain_b")
     return both.select("a", "b", F.when(same_name & same_domain, 98).when(same_domain, 95).otherwise(65).alias("confidence"))
 
 
-@query(r"""SELECT item_id, 'dish-' || substr(regexp_replace(regexp_replace(lower(strip_accents(translate(nameOriginal, 'đĐ×', 'dDx'))), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS dish_id FROM menu_items WHERE nameOriginal IS NOT NULL AND regexp_matches(nameOriginal, '^[ -~À-ɏḀ-ỿ]*$')""")
+@query()
 def er_2_slug_ids(spark, sf_dir):
-    """Ids of dishes from their names in Latin letters."""
-    rows = table(spark, sf_dir, "menu_items").where(F.col("nameOriginal").rlike(r"^[ -~À-ɏḀ-ỿ]*$"))
-    plain = text.without_accents(F.translate("nameOriginal", "đĐ×", "dDx"))
-    return rows.select("item_id", F.concat(F.lit("dish-"), text.slug(plain)).alias("dish_id"))
+    """Ids of all dishes: the Latin letters and digits of their names, else a hash of the name; a null name has none."""
+    name = F.col("nameOriginal")
+    slugged = text.slug(text.without_accents(F.translate(name, "đĐ×", "dDx")))
+    readable = F.when(slugged != "", slugged).otherwise(F.substring(F.sha2(name, 256), 1, 12))
+    return table(spark, sf_dir, "menu_items").select("item_id", F.when(name.isNotNull(), F.concat(F.lit("dish-"), readable)).alias("dish_id"))
 
 
 @query("""WITH t AS (SELECT item_id, restaurantId, list_distinct(list_filter(regexp_split_to_array(lower(nameOriginal), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS w FROM menu_items WHERE nameOriginal IS NOT NULL)

@@ -19,7 +19,7 @@ def reviews(spark: SparkSession, sf_dir: str, around: bool = False) -> DataFrame
     """Game reviews with flat names: one row per delivery; with `around` only those of the compared periods, tested on the stored column so that the scan can skip."""
     rows = table(spark, sf_dir, "game_reviews")
     if around:
-        rows = rows.where((F.col("timestamp_created") >= BOUNDARY - SPAN) & (F.col("timestamp_created") < BOUNDARY + SPAN))
+        rows = rows.where((F.col("timestamp_created") >= BOUNDARY - SPAN) & (F.col("timestamp_created") <= BOUNDARY + SPAN))
     return rows.select(
         F.col("row_id").alias("seq"),
         F.col("recommendationid").alias("review_id"),
@@ -42,13 +42,14 @@ def analysed(spark: SparkSession, sf_dir: str, around: bool = False) -> DataFram
     return (
         reviews(spark, sf_dir, around)
         .withColumn("topics", rules.topics_of(low, GAME_RULES))
-        .withColumn("sentiment", rules.sentiment_of(low, GAME_RULES))
+        .withColumn("sentiment", rules.sentiment_of(low, GAME_RULES, F.col("positive")))
         .withColumn("request", rules.hit(low, GAME_RULES.requests))
     )
 
 
 def _any(terms) -> str:
-    return "(" + " OR ".join(f"contains(low, '{t}')" for t in terms) + ")"
+    quoted = (t.replace("'", "''") for t in terms)
+    return "(" + " OR ".join(f"contains(low, '{t}')" for t in quoted) + ")"
 
 
 _TOPICS = ", ".join(f"CASE WHEN {_any(terms)} THEN '{topic}' END" for topic, terms in GAME_RULES.topics.items())
@@ -62,8 +63,8 @@ REVIEWS_SQL = """rev AS (
 
 ANALYSED_SQL = f"""{REVIEWS_SQL}, ana AS (
   SELECT *, list_filter([{_TOPICS}], lambda x: x IS NOT NULL) AS topics,
-         CASE WHEN {_any(GAME_RULES.positive)} AND {_any(GAME_RULES.negative)} THEN 'mixed' WHEN {_any(GAME_RULES.positive)} THEN 'positive'
-              WHEN {_any(GAME_RULES.negative)} THEN 'negative' ELSE 'neutral' END AS sentiment,
+         CASE WHEN {_any(GAME_RULES.positive)} AND {_any(GAME_RULES.negative)} THEN 'mixed' WHEN {_any(GAME_RULES.positive)} OR positive IS TRUE THEN 'positive'
+              WHEN {_any(GAME_RULES.negative)} OR positive IS FALSE THEN 'negative' ELSE 'neutral' END AS sentiment,
          {_any(GAME_RULES.requests)} AS request
   FROM rev)"""
 

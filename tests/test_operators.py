@@ -60,20 +60,23 @@ def test_counts(spark):
 def test_periods(spark):
     rows = spark.createDataFrame([("x", t) for t in (89, 90, 99, 100, 109, 110, None)], "k string, t long")
     marked = rows.withColumn("period", periods.period_of(F.col("t"), 100, 10))
-    assert [r.period for r in marked.orderBy("t").collect()] == [None, None, "before", "before", "after", "after", None]
-    assert [tuple(r) for r in periods.compared(marked, ["k"]).collect()] == [("x", 2, 2, 0, "unchanged")]
+    assert [r.period for r in marked.orderBy("t").collect()] == [None, None, "before", "before", "after", "after", "after"]
+    assert [tuple(r) for r in periods.compared(marked, ["k"]).collect()] == [("x", 2, 3, 1, "increased")]
     shift = periods.sentiment_shift(marked.withColumn("up", F.lit(True)), ["k"], F.col("up")).collect()[0]
     assert shift.direction == "insufficient_data"
     assert periods.coverage(marked, ["k"], "t", 100, 10).where("status = 'insufficient'").count() == 2
+    cases = [(40, 40, "full", "full", 0.1), (40, 40, "full", "partial", 0.1), (7, 40, "full", "full", 0.0), (20, 80, "full", "full", None)]
+    got = spark.createDataFrame(cases, "b int, a int, sb string, sa string, d double").select(F.round(periods.confidence(*[F.col(c) for c in ("b", "a", "sb", "sa", "d")]), 4).alias("c"))
+    assert [(r.c, r.l) for r in got.select("c", periods.confidence_label(F.col("c")).alias("l")).collect()] == [(0.96, "high"), (0.69, "medium"), (0.39, "low"), (0.685, "medium")]
 
 
 def test_rankings(spark):
     rows = spark.createDataFrame([(k, i, i % 3) for k in "ab" for i in range(9)], "k string, id int, v int")
     top = ranking.top_per_key(rows, ["k"], [F.col("v").desc(), F.col("id")], 2).collect()
     assert {(r.k, r.id) for r in top} == {("a", 2), ("a", 5), ("b", 2), ("b", 5)}
-    sample = ranking.seeded_sample(rows, ["k"], F.col("id").cast("string"), "id", 4, "s")
+    sample = ranking.seeded_sample(rows, ["k"], F.col("id").cast("string"), 4, "s")
     assert sample.groupBy("k").count().where("count = 4").count() == 2
-    assert {tuple(r) for r in sample.collect()} == {tuple(r) for r in ranking.seeded_sample(rows.repartition(3), ["k"], F.col("id").cast("string"), "id", 4, "s").collect()}
+    assert {tuple(r) for r in sample.collect()} == {tuple(r) for r in ranking.seeded_sample(rows.repartition(3), ["k"], F.col("id").cast("string"), 4, "s").collect()}
     turns = [(r.turn, r.k) for r in ranking.interleaved(rows, ["k"], [F.col("id")], [F.col("k")], 5).collect()]
     assert turns == [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a")]
 
@@ -146,7 +149,14 @@ def test_contracts(spark):
 
 
 def test_rules(spark):
-    frame = spark.createDataFrame([("the menu crashes but it is polished",), ("",)], "low string")
-    got = frame.select(rules.topics_of(F.col("low"), rules.GAME_RULES), rules.sentiment_of(F.col("low"), rules.GAME_RULES), rules.hits(F.col("low"), rules.GAME_RULES.positive)).collect()
-    assert [tuple(r) for r in got] == [(["stability", "interface"], "mixed", 1), ([], "neutral", 0)]
+    frame = spark.createDataFrame([("the menu crashes but it is great", None), ("", True), ("x", False)], "low string, up boolean")
+    got = frame.select(rules.topics_of(F.col("low"), rules.GAME_RULES), rules.sentiment_of(F.col("low"), rules.GAME_RULES, F.col("up")), rules.hits(F.col("low"), rules.GAME_RULES.positive)).collect()
+    assert [tuple(r) for r in got] == [(["crashes", "userInterface"], "mixed", 1), ([], "positive", 0), ([], "negative", 0)]
     assert rules.taxonomy(["a", "b"], ["b", "c"]) == ["a", "b", "c"]
+
+
+def test_patch_scores(spark):
+    items = [("Patch notes 1.2", "fix a bug", True, False), ("Summer sale", "nothing", False, True), ("Update 3", "", False, None), (None, None, None, None)]
+    rows = spark.createDataFrame(items, "title string, body string, latest boolean, outside boolean")
+    got = rows.select(rules.patch_score(F.col("title"), F.col("body"), F.col("latest"), F.col("outside")).alias("s")).collect()
+    assert [r.s for r in got] == [100, 0, 40, 15]
