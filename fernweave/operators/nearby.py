@@ -207,12 +207,14 @@ def _locate(points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         e, slope, top = e[order], slope[order], top[order]
         if (np.diff(top) >= 0).all():
             place = _edges_left(lat[mine], lon[mine], y1[e], x1[e], slope)
+            sorted_place = np.argsort(place, kind="stable")
+            ends = np.searchsorted(place[sorted_place], np.arange(len(e) + 1), "right")
             inside: set = set()
             for k in range(len(e) + 1):
-                here = mine[place == k] if inside else mine[:0]
+                here = mine[sorted_place[ends[k - 1] if k else 0 : ends[k]]]
                 out += [(ids[here], r) for r in inside if len(here)]
                 if k < len(e):
-                    inside = inside ^ {region[e[k]]}
+                    inside ^= {region[e[k]]}
         else:
             for r in np.unique(region[e]):
                 own = np.flatnonzero(region[e] == r)
