@@ -235,12 +235,12 @@ def same_address(rows: DataFrame, id_col: str, address: Column, city: Column, co
     code_place = F.when(F.col("code") != "", F.array(F.concat(F.lit("p"), "code"))).otherwise(F.array().cast("array<string>"))
     places = F.concat(F.transform("towns", lambda t: F.concat(F.lit("t"), t)), code_place)
     hashed = own.unionByName(other).withColumn("place", F.explode(places)).withColumn("base", F.explode("bases"))
-    hashed = hashed.select(F.xxhash64("base", "name", "place").alias("hash"), "form", "number", "bases", "name", "kind", "towns", "town_known", "code")
+    several = F.when(F.size("bases") > 1, F.col("bases")).alias("bases")
+    hashed = hashed.select(F.xxhash64("base", "name", "place").alias("hash"), "form", "number", several, "name", "kind", "towns", "town_known", "code")
     left, right = (hashed.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in hashed.columns[1:]]) for s in "ab")
-    ranged = F.col("number_a").rlike(_RANGE.pattern) | F.col("number_b").rlike(_RANGE.pattern)
-    single = (F.size("bases_a") == 1) & (F.size("bases_b") == 1)
+    either = F.arrays_overlap(*[F.coalesce(f"bases_{s}", F.array(f"number_{s}")) for s in "ab"]) & (F.col("bases_a").isNotNull() | F.col("bases_b").isNotNull())
     bare = F.col("number_a").rlike("^[0-9-]+$") & F.col("number_b").rlike("^[0-9-]+$")
-    same_number = (F.col("number_a") == F.col("number_b")) | (ranged & ~single & bare & F.arrays_overlap("bases_a", "bases_b"))
+    same_number = (F.col("number_a") == F.col("number_b")) | (bare & either)
     agree = (
         same_number
         & (F.col("name_a") == F.col("name_b"))
@@ -251,7 +251,7 @@ def same_address(rows: DataFrame, id_col: str, address: Column, city: Column, co
     alike = left.join(right, "hash").where((F.col("form_a") < F.col("form_b")) & agree).select("form_a", "form_b").distinct()
     both = alike.unionByName(alike.select(F.col("form_b").alias("form_a"), F.col("form_a").alias("form_b")))
     both = both.unionByName(read.groupBy("form").count().where("count > 1").select(F.col("form").alias("form_a"), F.col("form").alias("form_b")))
-    several = read.groupBy("id").agg(F.count_distinct("form").alias("n")).agg(F.max("n")).first()[0] or 0
+    ambiguous = read.groupBy("id").agg(F.count_distinct("form").alias("n")).where("n > 1").limit(1).count()
     a, b = (read.select(F.col("id").alias(f"id_{s}"), F.col("form").alias(f"form_{s}")) for s in "ab")
     pairs = a.join(both, "form_a").join(b, "form_b").where("id_a < id_b").select("id_a", "id_b")
-    return pairs.distinct() if several > 1 else pairs
+    return pairs.distinct() if ambiguous else pairs
