@@ -44,6 +44,7 @@ CHANGED_WORDS = 2
 RECALL = 0.999
 BROADCAST_KEYS = 4_000_000
 BROADCAST_CANDIDATES = 200_000
+HELD_ITEMS = 20_000
 CHARS_PER_STEP = 4_000_000
 CHANGE_COST = 1.5
 MATCHED_SHARE = 0.7
@@ -249,16 +250,20 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The candidates whose document contains the item; rows of one document follow each other."""
+    """The candidates whose document contains the item; rows of one document follow each other. Codes of up to `HELD_ITEMS` items are held."""
     last, document = None, np.zeros(0, np.uint64)
+    known: dict[str, np.ndarray] = {}
     for batch in batches:
         docs, texts, ids, items = (batch.column(k) for k in range(4))
         kept = []
-        for r, item in enumerate(items.to_pylist()):
-            doc = docs[r].as_py()
+        for r, (doc, item) in enumerate(zip(docs.to_pylist(), items.to_pylist())):
             if doc != last:
                 last, document = doc, _codes([words_of(texts[r].as_py())])[0]
-            kept.append(contains(document, _codes([words_of(item)])[0]))
+            if item not in known:
+                if len(known) >= HELD_ITEMS:
+                    known.clear()
+                known[item] = _codes([words_of(item)])[0]
+            kept.append(contains(document, known[item]))
         words = np.array(kept, np.int64)
         rows = pa.RecordBatch.from_arrays([docs, ids, pa.array(words)], ["doc_id", "item_id", "words"])
         yield rows.filter(pa.array(words > 0))
