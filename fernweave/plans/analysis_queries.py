@@ -9,7 +9,7 @@ from fernweave.operators import clustering, patterns, periods, review_analysis
 from fernweave.operators.rules import GAME_RULES
 from fernweave.plans.catalog import Catalog
 from fernweave.plans.views import BOUNDARY, REVIEWS_SQL, SPAN, reviews
-from fernweave.session import table
+from fernweave.session import cut_lineage, table
 
 query = Catalog()
 R = review_analysis
@@ -131,13 +131,13 @@ def jn_7_wishes(spark, sf_dir):
 
 
 def _groups(spark, sf_dir):
-    """Issue titles of a product, platform and type: united topics, mentions, gravest severity."""
+    """Issue titles of a product, platform and type: united topics (of nineteen, so few sets), mentions, gravest severity."""
     rows = _ruled(spark, sf_dir).where(F.col("title").isNotNull() & (F.size("topics") > 0))
     keys = ["product_id", "platform", "primary_type", "title"]
-    counted = rows.select(*keys, F.explode("topics").alias("topic")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("topic")).alias("topics"))
     rank = F.when(F.col("severity") == "unknown", 9).otherwise(_rank())
-    mentions = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("mentions"), F.min_by("severity", rank).alias("severity"), F.min("created").alias("first_at"), F.max("created").alias("last_at"))
-    return counted.join(mentions, keys).withColumn("tokens", clustering.tokens(F.col("title")))
+    topics = F.array_sort(F.array_distinct(F.flatten(F.collect_set("topics")))).alias("topics")
+    mentions = rows.groupBy(*keys).agg(topics, F.count(F.lit(1)).alias("mentions"), F.min_by("severity", rank).alias("severity"), F.min("created").alias("first_at"), F.max("created").alias("last_at"))
+    return mentions.withColumn("tokens", clustering.tokens(F.col("title")))
 
 
 _GROUPS_SQL = f"""{RULED_SQL}, g0 AS (SELECT * FROM ruled WHERE title IS NOT NULL AND len(topics) > 0),
@@ -151,7 +151,7 @@ def _overlap_sql(x: str) -> str:
 
 
 def _platform_scores(spark, sf_dir):
-    groups = _groups(spark, sf_dir)
+    groups = cut_lineage(_groups(spark, sf_dir))
     keys = ["product_id", "primary_type"]
     sides = [groups.where(F.col("platform") == p).select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("title", "topics", "tokens", "severity", "mentions")]) for s, p in (("a", "desktop"), ("b", "handheld"))]
     shared = [d.withColumn("t", F.explode(F.array_union(F.transform(f"topics_{s}", lambda x: F.concat(F.lit("#"), x)), F.col(f"tokens_{s}")))) for s, d in zip("ab", sides)]
@@ -201,7 +201,7 @@ def er_4_title_similarity(spark, sf_dir):
 
 def _similar(spark, sf_dir):
     block = ["product_id", "platform", "primary_type"]
-    groups = _groups(spark, sf_dir).withColumn("id", F.xxhash64(*block, "title"))
+    groups = cut_lineage(_groups(spark, sf_dir).withColumn("id", F.xxhash64(*block, "title")))
     by_words = clustering.similar_titles(groups.where(F.size("tokens") > 0), block)
     by_topics = clustering.similar_titles(groups.withColumn("tokens", F.col("topics")), block)
     return groups, by_words.unionByName(by_topics).distinct()
