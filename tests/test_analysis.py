@@ -44,3 +44,14 @@ def test_platform_scores(spark):
     rows = spark.createDataFrame([(["crashes"], ["crashes"], ["reported", "crash"], ["reported", "crash"], "high", "high", 4, 2), (["a"], ["b"], ["x"], ["y"], "high", "unknown", 1, 1)], "topics_a array<string>, topics_b array<string>, tokens_a array<string>, tokens_b array<string>, severity_a string, severity_b string, ma int, mb int")
     got = clustering.platform_score(rows).select("hundredths", clustering.dominance("ma", "mb")).collect()
     assert [tuple(r) for r in got] == [(100, "dominant_a"), (7, "shared")]
+
+
+def test_ids_of_all_dishes(spark, tmp_path):
+    from fernweave.plans import report_queries
+
+    names = ["Crème brûlée", "Phở bò đặc biệt", "寿司", "", None, "Ｓoup", "寿司"]
+    rows = [(k, n, "x") for k, n in enumerate(names)]
+    spark.createDataFrame(rows, "item_id long, nameOriginal string, dish_id string").write.parquet(str(tmp_path / "menu_items.parquet"))
+    got = {r.item_id: r.dish_id for r in report_queries.er_2_slug_ids(spark, str(tmp_path)).collect()}
+    assert got[0] == "dish-creme-brulee" and got[1] == "dish-pho-bo-dac-biet" and got[4] is None
+    assert got[2] == got[6] and got[2].startswith("dish-") and len({got[k] for k in (0, 1, 2, 3, 5)}) == 5
